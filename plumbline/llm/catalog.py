@@ -1,6 +1,22 @@
 """Queries of the training-data operators and their SQL."""
 
+from .boosted_quality import op3_quality_classifier
+from .byte_bpe import op1_byte_bpe
+from .license_scan import op6_license_scan
+from .line_dedup import op7_line_dedup, op7_sql
+from .mixing import op10_mix_sources, op10_sql
+from .near_dedup import op4_near_dedup
 from .quality_rules import op8_quality_rules, op8_sql
+from .url_filter import op2_sql, op2_url_filter
 
-QUERIES = {"op8_quality_rules": op8_quality_rules}
-SQL = {"op8_quality_rules": op8_sql()}
+QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op2_url_filter": op2_url_filter,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_near_dedup": op4_near_dedup,
+    "op6_license_scan": op6_license_scan,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_quality_rules": op8_quality_rules,
+    "op10_mix_sources": op10_mix_sources,
+}
+SQL = {"op2_url_filter": op2_sql(), "op7_line_dedup": op7_sql(), "op8_quality_rules": op8_sql(), "op10_mix_sources": op10_sql()}
