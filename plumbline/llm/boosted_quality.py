@@ -164,17 +164,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
 
 
 def score(docs: DataFrame, forest: Forest, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and ``score`` of every row."""
+    """``keep`` columns and ``score`` of every row; a text that is kept goes to the workers once."""
+    cols, again = [c for c in keep if c != "text"], "text" in keep
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
                 x = np.array([statistics(t) for t in part.column("_text").to_pylist()]).reshape(-1, len(FEATURES))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(forest.score(x))], names=[*keep, "score"])
+                own = [part.column(c) for c in cols] + [part.column("_text")] * again
+                yield pa.RecordBatch.from_arrays([*own, pa.array(forest.score(x))], names=[*cols, *["text"] * again, "score"])
 
-    d = docs.select(*keep, F.col("text").alias("_text"))
-    return d.mapInArrow(run, T.StructType([*(d.schema[c] for c in keep), T.StructField("score", T.DoubleType())]))
+    d = docs.select(*cols, F.col("text").alias("_text"))
+    text = [T.StructField("text", T.StringType())] * again
+    return d.mapInArrow(run, T.StructType([*(d.schema[c] for c in cols), *text, T.StructField("score", T.DoubleType())]))
 
 
 def fold(doc_id):
