@@ -461,7 +461,7 @@ def q_backoff(spark, sf):
     return j.select("job_id", "attempt", "status", F.when(F.col("status") == "queued", F.element_at(steps, F.least(F.col("attempt"), F.lit(7)))).alias("wait_s"))
 
 
-@query(f"WITH {JOBS}, l AS (SELECT job_id, arg_max({STATUS}, attempt) AS status, arg_max(CAST(epoch(at) AS BIGINT) + list_extract({BACKOFF}, least(attempt, 7)), attempt) AS due FROM jobs GROUP BY job_id) SELECT job_id, due FROM l WHERE status = 'queued' ORDER BY due, job_id LIMIT 1")
+@query(f"WITH {JOBS}, l AS (SELECT job_id, arg_max({STATUS}, attempt) AS status, arg_max(CAST(epoch(jobs.at) AS BIGINT) + list_extract({BACKOFF}, least(attempt, 7)), attempt) AS due FROM jobs GROUP BY job_id) SELECT job_id, due FROM l WHERE status = 'queued' ORDER BY due, job_id LIMIT 1")
 def q_claim(spark, sf):
     steps = F.array(*[F.lit(x) for x in (1, 2, 4, 8, 16, 32, 60)])
     j = S.jobs(spark, sf).withColumn("due", F.unix_timestamp("at") + F.element_at(steps, F.least(F.col("attempt"), F.lit(7))))
