@@ -23,7 +23,7 @@ from .common import WORD, cut, read
 WINDOW = 8
 SYMBOLS = r"[#*$%&|<>]"
 #: rate name -> (least interquartile range, whether low values count as outliers too)
-RATES = {"symbol_rate": (20, False), "dup_line_rate": (40, False), "repeat_rate": (40, False), "word_len": (6, True)}
+RATES = {"symbol_rate": (20, False), "dup_line_rate": (120, False), "repeat_rate": (95, False), "word_len": (6, True)}
 
 
 def document_counts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
