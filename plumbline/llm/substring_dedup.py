@@ -120,6 +120,8 @@ def repeated(rows: DataFrame) -> DataFrame:
     occ = occ.select("doc_id", "d8", F.col("_e.pos").alias("pos"), F.col("_e.kmer").alias("kmer"), F.col("_e.link").alias("next"), prev.alias("prev"))
     one = lambda c: (F.min(c) == F.max(c)) & (F.min(c) != 0)
     stats = occ.groupBy("kmer").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), one("next").alias("out"), one("prev").alias("into")).where("first != last").drop("last")
+    # written, so that the join has plain exchanges on both sides and adaptive execution can split a hot k-mer
+    stats = cut(stats, "dbg-kmers")
     return occ.select("doc_id", "d8", "pos", "kmer").join(stats, "kmer").groupBy("doc_id", "d8").agg(F.collect_list(F.struct("pos", "first", "out", "into")).alias("hits"))
 
 
@@ -198,6 +200,7 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     open_ = cut(open_windows(docs.where("doc_id IS NOT NULL"), hits), "dbg-open")
     win = open_.select("doc_id", "d8", F.explode(F.arrays_zip("starts", "h1", "h2")).alias("w")).select("doc_id", "d8", F.col("w.starts").alias("at"), F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2"))
     least = win.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last").drop("last")
+    least = cut(least, "dbg-windows")
     more = win.join(least, ["h1", "h2"]).where("first < doc_id").groupBy("doc_id", "d8").agg(F.collect_list("at").alias("more"))
     some = open_.where("text IS NOT NULL").dropDuplicates(["doc_id", "d8"]).select("doc_id", "d8", "text", "spans")
     j = some.join(more, ["doc_id", "d8"], "left").where(F.col("more").isNotNull() | (F.size("spans") > 0))
