@@ -9,14 +9,14 @@ their own, so that two registers agree with the probability of the sets' Jaccard
 1. Texts of one set collapse to a class (a set digest), its smallest id its representative.
 2. ``BANDS`` bands of ``ROWS`` registers; representatives that share a band meet in a bucket.
    With 64 bands of 8, a pair at similarity 0.8 shares none with probability 8e-6.
-3. In each bucket only pairs with its smallest id (its hub) are listed, never all pairs.
-   Registers estimate the Jaccard similarity, corrected for chance collisions; pairs that are
-   eight deviations below are dropped, the others are confirmed on the full sets.
+3. Each representative is first compared with the smallest id that it shares a bucket with.
+   Registers estimate the similarity, corrected for chance collisions; pairs five deviations
+   below are dropped, the others are confirmed on the full sets.
 4. Components of confirmed links, by label propagation.
-5. What a hub could have hidden: in buckets that still hold several components, members that
-   aren't linked to the hub are paired among themselves, and with members that are linked to it
-   and near enough by the triangle inequality of the Jaccard distance.  A bucket with more such members than
-   ``SMALL`` is split by a further band and gets hubs of its own first.
+5. Buckets that still hold several components: their members are compared across components by
+   registers, inside tasks (small buckets by a join), and plausible pairs are confirmed.  Buckets
+   larger than ``BLOCK`` are split by a further band, then into blocks of bounded size.
+   Components of all links are the classes.
 
 No limit on partners or bucket sizes: hot buckets shuffle as rows and adaptive joins split them.
 
@@ -39,7 +39,11 @@ from pyspark.sql import types as T
 from .common import cut, read
 from .components import connected
 
-REGISTERS, BANDS, ROWS, MANTISSA, SMALL, PROBES = 256, 64, 8, 10, 32, 6
+REGISTERS, BANDS, ROWS, MANTISSA, PROBES = 256, 64, 8, 10, 6
+#: Buckets up to SMALL are paired by a join, up to BLOCK in one task, beyond in blocks of it.
+SMALL, BLOCK = 6, 2048
+#: Ids of bucket mates are broadcast up to this many (16 MB), and shuffled beyond.
+BROADCAST_IDS = 1_000_000
 _BITS = REGISTERS.bit_length() - 1
 #: Chance that two registers of different elements agree (ten mantissa bits, geometric exponent).
 COLLISION = 1 / 3 / 2**MANTISSA
@@ -174,27 +178,59 @@ def _members(reps: DataFrame) -> DataFrame:
     return reps.select("id", "regs").mapInArrow(run, "key long, id long")
 
 
+def _plausible(same: np.ndarray, union: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float) -> np.ndarray:
+    """Whether sizes and registers allow a similarity of ``least``.
+
+    Filled buckets of the union hold a sample, without replacement, of its elements: the estimate,
+    freed of chance collisions, must not be five deviations of that sample below ``least``."""
+    n = np.maximum(union, 1)
+    jac = (same / n - COLLISION) / (1 - COLLISION)
+    whole = np.maximum((na + nb) / (1 + least), n)  # the union can't be larger at that similarity
+    off = 5 * np.sqrt(least * (1 - least) / n * (whole - n) / np.maximum(whole - 1, 1))
+    return (np.minimum(na, nb) >= least * np.maximum(na, nb) - 1e-9) & (jac + off + 1e-3 >= least)
+
+
 def _estimated(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """pairs(a, b) whose collision-corrected estimate allows a similarity of ``least``."""
+    """pairs(a, b) whose estimate allows a similarity of ``least``."""
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             get = lambda c, kind: np.frombuffer(b"".join(b.column(c).to_pylist()), kind).reshape(b.num_rows, -1)  # noqa: B023, E731
-            union = np.unpackbits(get("fa", np.uint8) | get("fb", np.uint8), axis=1).astype(bool)
+            union = np.unpackbits(get("fa", np.uint8) | get("fb", np.uint8), axis=1).sum(1, dtype=np.int64)
             both = np.unpackbits(get("fa", np.uint8) & get("fb", np.uint8), axis=1).astype(bool)
             same = ((get("ra", np.uint16) == get("rb", np.uint16)) & both).sum(1)
-            n = union.sum(1)
-            jac = (same / n - COLLISION) / (1 - COLLISION)
-            keep = jac + 8 * np.sqrt(least * (1 - least) / n) >= least
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(_plausible(same, union, b.column("na").to_numpy(), b.column("nb").to_numpy(), least)))
 
-    r = reps.select("id", "regs", "full")
-    j = pairs.join(r.toDF("a", "ra", "fa"), "a").join(r.toDF("b", "rb", "fb"), "b")
+    r = reps.select("id", "regs", "full", "n")
+    j = pairs.join(r.toDF("a", "ra", "fa", "na"), "a").join(r.toDF("b", "rb", "fb", "nb"), "b")
     return j.mapInArrow(run, "a long, b long")
 
 
+def _compared(groups: DataFrame, least: float) -> DataFrame:
+    """groups(key, i, j, id, comp, regs, full, n) -> plausible pairs (a, b) of different components, compared inside
+    the task: the members outside a group's largest component against all of it."""
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, comp, size = (t[c].to_numpy() for c in ("id", "comp", "n"))
+        regs = np.frombuffer(b"".join(t["regs"].to_pylist()), np.uint16).reshape(len(ids), -1)
+        full = np.unpackbits(np.frombuffer(b"".join(t["full"].to_pylist()), np.uint8).reshape(len(ids), -1), axis=1).astype(bool)
+        names, n = np.unique(comp, return_counts=True)
+        out = []
+        rest = np.flatnonzero(comp != names[n.argmax()])
+        for at in range(0, len(rest), 16):
+            k = rest[at : at + 16]
+            same = ((regs[k][:, None, :] == regs[None]) & full[k][:, None, :] & full[None]).sum(2)
+            union = (full[k][:, None, :] | full[None]).sum(2)
+            x, y = np.nonzero(_plausible(same, union, size[k][:, None], size[None], least) & (comp[k][:, None] != comp[None]))
+            out.append(np.stack([ids[k[x]], ids[y]], 1))
+        pairs = np.unique(np.sort(np.concatenate(out), 1), axis=0) if out else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    return groups.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs(a, b) -> a, b, common, total: sizes of intersection and union of the full sets."""
 
@@ -211,91 +247,68 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").mapInArrow(run, "a long, b long, common long, total long")
 
 
-class _Search:
-    """Candidate search of one run: what is tested so far, links, and labels of components."""
-
-    def __init__(self, reps: DataFrame, docs: DataFrame, size: int, percent: int):
-        self.reps, self.docs, self.size, self.percent = reps, docs, size, percent
-        self.tested: DataFrame | None = None
-        self.labels: DataFrame | None = None
-
-    def test(self, pairs: DataFrame) -> bool:
-        """Confirm pairs (a < b) not tested before; True if there were any."""
-        p = pairs.distinct()
-        if self.tested is not None:
-            p = p.join(self.tested.select("a", "b"), ["a", "b"], "left_anti")
-        # below half the threshold on distance, the triangle inequality can't be needed either
-        p = cut(_estimated(p, self.reps, 1 - 2 * (1 - self.percent / 100)), "near-pairs")
-        if p.isEmpty():
-            return False
-        ids = p.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = self.docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
-        new = _confirmed(p, cut(full_sets(texts, self.size).dropDuplicates(["id"]), "near-sets"))
-        if self.tested is not None:
-            new = new.unionByName(self.tested)
-        self.tested = cut(new, "near-tested")
-        self.labels = connected(self.links())
-        return True
-
-    def links(self) -> DataFrame:
-        return self.tested.where(100 * F.col("common") >= self.percent * F.col("total")).select("a", "b")
-
-    def labelled(self, members: DataFrame) -> DataFrame:
-        """members and ``comp``; a representative without links is its own component."""
-        if self.labels is None:
-            return members.withColumn("comp", F.col("id"))
-        j = members.join(self.labels.toDF("id", "_l"), "id", "left")
-        return j.withColumn("comp", F.coalesce("_l", "id")).drop("_l")
-
-    def run(self) -> None:
-        members = _members(self.reps)
-        for level in range(4):
-            hubs = members.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-            members = cut(members.join(hubs, "key").select("key", "id", "hub"), "near-members")
-            if not self.test(members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))):
-                return
-            members = self.unresolved(members)
-            if level == 0 and members.isEmpty():
-                return
-            counted = members.where("NOT linked").groupBy("key").agg(F.count("*").alias("n"))
-            self.test(self.residual(members.join(counted, "key"), last=level == 3))
-            large = members.where("NOT linked").join(counted.where(F.col("n") > SMALL).select("key"), "key", "left_semi")
-            if level == 3 or large.isEmpty():
-                return
-            # a large bucket is split: its members meet again where a second band agrees too
-            regs = large.select("key", "id").join(self.reps.select("id", "regs"), "id")
-            members = self.split(regs)
-
-    def unresolved(self, members: DataFrame) -> DataFrame:
-        """Members of buckets with several components, the distance to their hub (2: not near), linked or not."""
-        m = self.labelled(members)
-        mixed = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-        m = m.join(mixed, "key", "left_semi").join(self.tested.select(F.col("a").alias("hub"), F.col("b").alias("id"), "common", "total"), ["hub", "id"], "left")
-        far = F.coalesce(1 - F.col("common") / F.col("total"), F.lit(2.0))
-        link = F.coalesce(100 * F.col("common") >= self.percent * F.col("total"), F.lit(False))
-        return cut(m.where("id != hub").select("key", "id", "comp", far.alias("far"), link.alias("linked")), "near-open")
-
-    def residual(self, open_: DataFrame, last: bool) -> DataFrame:
-        """Pairs across components that the hub's distances don't rule out."""
-        reach = 1 - self.percent / 100
-        out = open_.where("NOT linked").select("key", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("far").alias("fx"), "n")
-        other = open_.select("key", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("far").alias("fy"), F.col("linked"))
-        near = out.where(F.col("fx") <= 2 * reach + 1e-9).join(other.where("linked"), "key").where((F.col("cx") != F.col("cy")) & (F.col("fy") >= F.col("fx") - reach - 1e-9))
-        few = out if last else out.where(F.col("n") <= SMALL)
-        among = few.join(other.where("NOT linked"), "key").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (F.abs(F.col("fx") - F.col("fy")) <= reach + 1e-9))
-        pair = lambda d: d.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        return pair(near).unionByName(pair(among))
-
-    def split(self, regs: DataFrame) -> DataFrame:
-        def run(batches):
-            for b in batches:
-                if b.num_rows:
-                    r = np.frombuffer(b"".join(b.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-                    old = b.column("key").to_numpy().view(np.uint64)
-                    keys = _mix(band_keys(r).view(np.uint64) + _mix(old + _U(1))[:, None])
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(b.column("id").to_numpy(), BANDS))], names=["key", "id"])
-
-        return regs.select("key", "id", "regs").mapInArrow(run, "key long, id long")
+def _split(open_: DataFrame) -> DataFrame:
+    """(key, id) of buckets too large for a task: members meet again where a second band agrees too."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                r = np.frombuffer(b"".join(b.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+                old = b.column("key").to_numpy().view(np.uint64)
+                for at in range(0, len(r), 512):
+                    keys = _mix(band_keys(r[at : at + 512]).view(np.uint64) + _mix(old[at : at + 512] + _U(1))[:, None])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(b.column("id").to_numpy()[at : at + 512], BANDS))], names=["key", "id"])
+
+    return open_.select("key", "id", "regs").mapInArrow(run, "key long, id long")
+
+
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members(key, id) of buckets that hold several components, with comp and the bucket's size n."""
+    m = members.select("key", "id").join(labels.toDF("id", "_l"), "id", "left").select("key", "id", F.coalesce("_l", "id").alias("comp"))
+    mixed = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("key", "n")
+    return m.join(mixed, "key")
+
+
+def _residual(members: DataFrame, labels: DataFrame, reps: DataFrame, least: float) -> DataFrame:
+    """Plausible pairs across components that share a bucket."""
+    open_ = cut(_mixed(members, labels), "near-open")
+    small = open_.where(F.col("n") <= SMALL)
+    x, y = small.select("key", F.col("id").alias("a"), F.col("comp").alias("ca")), small.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"))
+    few = _estimated(x.join(y, "key").where("a < b AND ca != cb").select("a", "b").distinct(), reps, least)
+    r = reps.select("id", "regs", "full", F.col("n").alias("_size"))
+    large = open_.where(F.col("n") > SMALL)
+    huge = large.where(F.col("n") > BLOCK)
+    if not huge.isEmpty():
+        again = _mixed(_split(huge.join(r, "id")), labels)
+        large = large.where(F.col("n") <= BLOCK).unionByName(cut(again.select(*large.columns), "near-split"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    g = large.withColumn("_o", own).withColumn("_b", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    g = g.select("key", F.least("_o", "_b").alias("i"), F.greatest("_o", "_b").alias("j"), "id", "comp").join(r, "id").withColumnRenamed("_size", "n")
+    return few.unionByName(_compared(g, least)).distinct()
+
+
+def _components(reps: DataFrame, docs: DataFrame, size: int, percent: int, same: DataFrame) -> DataFrame:
+    """(id, label) of all representatives that are linked; ``same``: links known beforehand."""
+    least = percent / 100
+    members = _members(reps)
+    hubs = members.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub != last").drop("last")
+    members = cut(members.join(hubs, "key").select("key", "id", "hub"), "near-members")
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    ids = members.select("id").distinct()
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    sets = cut(full_sets(texts.join(ids, "id", "left_semi"), size), "near-sets")
+    link = 100 * F.col("common") >= percent * F.col("total")
+    # an id with several rows has several sets: each pair of them counts
+    confirmed = lambda p: _confirmed(p, sets).where(link).select("a", "b").distinct()
+    first = members.where("id != hub").groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
+    links = cut(confirmed(_estimated(first, reps, least)).unionByName(same), "near-links")
+    labels = connected(links)
+    more = cut(confirmed(cut(_residual(members, labels, reps, least), "near-pairs")), "near-links")
+    if more.isEmpty():
+        return labels
+    return connected(links.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -303,17 +316,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     d = docs.select("doc_id", "text")
     rows = cut(sketches(d, shingle), "near-rows")
     some = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
-    # rows of one id are one node, so a set's class is joined to the smallest class of its ids by a link, too
-    classes = some.groupBy("digest").agg(F.min("doc_id").alias("id"))
-    reps = cut(some.join(classes.select("digest", F.col("id").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest"]).select(F.col("doc_id").alias("id"), "regs", "full"), "near-reps").dropDuplicates(["id"])
-    search = _Search(reps, d, shingle, percent)
-    search.run()
-    j = rows.join(classes, "digest", "left")
-    if search.labels is not None:
-        j = j.join(search.labels.toDF("id", "_label"), "id", "left")
-        comp = F.coalesce("_label", "id", "doc_id")
-    else:
-        comp = F.coalesce("id", "doc_id")
+    # one row a class: copies are combined before the shuffle
+    reps = some.groupBy("digest").agg(F.min(F.struct("doc_id", "regs", "full", F.col("n_shingles").alias("n"))).alias("r"))
+    reps = cut(reps.select("digest", F.col("r.doc_id").alias("id"), "r.regs", "r.full", "r.n"), "near-reps")
+    classes = reps.select("digest", "id")
+    # rows of one id are one node: the classes of its sets are linked
+    several = some.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo != hi").select("doc_id")
+    its = some.join(several, "doc_id", "left_semi").join(classes, "digest").groupBy("doc_id").agg(F.collect_set("id").alias("ids"))
+    same = cut(its.select(F.array_min("ids").alias("a"), F.explode("ids").alias("b")).where("a != b"), "near-same")
+    labels = _components(reps, d, shingle, percent, same)
+    j = rows.join(classes, "digest", "left").join(labels.toDF("id", "_label"), "id", "left")
+    comp = F.coalesce("_label", "id", "doc_id")
     comp = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), comp).otherwise(F.col("doc_id"))
     return j.select("doc_id", "n_shingles", comp.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -47,6 +47,25 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_duplicates(H.table(spark, []), shingle=4).collect() == []
 
 
+def test_near_duplicates_one_id_with_two_texts(spark):
+    from plumbline.llm.near_dedup import near_duplicates
+
+    a, b = "one text of words that is its own " * 3, "quite another text with other words in it " * 3
+    data = [(i, t, None, None, 0, None, None, None) for i, t in ((9, a), (9, b), (3, a), (5, b), (7, "alone here with some words of mine"))]
+    got = sorted((r[0], r[2]) for r in near_duplicates(H.table(spark, data), shingle=4).collect())
+    assert got == [(3, 3), (5, 3), (7, 7), (9, 3), (9, 3)]
+
+
+def test_near_duplicates_large_buckets(spark, monkeypatch):
+    """The paths for buckets beyond a task's size give the same classes."""
+    from plumbline.llm import near_dedup as N
+
+    monkeypatch.setattr(N, "SMALL", 2)
+    monkeypatch.setattr(N, "BLOCK", 5)
+    got = [tuple(r) for r in N.near_duplicates(H.table(spark), shingle=4).collect()]
+    assert sorted(got, key=key) == sorted(brute_near(H.rows()), key=key)
+
+
 def test_near_duplicates_chains_and_common_passage(spark):
     """Chains of edits, and texts that share most of a passage: many bucket mates that aren't near."""
     from plumbline.llm.near_dedup import near_duplicates
