@@ -27,7 +27,10 @@ RATES = {"symbol_rate": (20, False), "dup_line_rate": (120, False), "repeat_rate
 
 
 def document_counts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
-    """``keep`` columns, counts and rates of every whole text; no shuffle, no Python."""
+    """``keep`` columns, counts and rates of every whole text; no shuffle, no Python.
+
+    The result is written: a filter on a count that was pushed into the plan below would compute
+    the arrays again for each of their elements."""
     d = docs.select(*[F.col(c) for c in keep], F.coalesce(F.col(text), F.lit("")).alias("_t"))
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(WORD))
     d = d.select(
@@ -56,7 +59,7 @@ def document_counts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
     step = lambda a, p: F.struct((a["n"] + p + WINDOW - F.greatest(a["end"], p.cast("long"))).alias("n"), (p.cast("long") + WINDOW).alias("end"))
     d = d.select(*kept, F.coalesce(F.aggregate("_p", start, step)["n"], F.lit(0).cast("long")).alias("n_repeat_words"))
     per = lambda a, b, k: F.expr(f"{k} * {a} div greatest({b}, 1)")
-    return d.select(
+    d = d.select(
         "*",
         per("n_symbols", "word_chars", 1000).alias("symbol_rate"),
         per("n_dup_lines", "n_lines", 1000).alias("dup_line_rate"),
@@ -64,6 +67,7 @@ def document_counts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
         per("word_chars", "n_words", 10).alias("word_len"),
         ((F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).alias("base_failed"),
     )
+    return cut(d, "quality-counts")
 
 
 def sketch(counts: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -116,7 +120,7 @@ def judge(counts: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
-    counts = cut(document_counts(read(spark, sf_dir, "documents")), "quality-counts")
+    counts = document_counts(read(spark, sf_dir, "documents"))
     out = judge(counts, thresholds(counts))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
