@@ -210,13 +210,18 @@ def _estimated(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
 
 def _compared(groups: DataFrame, least: float) -> DataFrame:
     """groups(key, i, j, id, comp, regs, full, n) -> plausible pairs (a, b) of different components, compared inside
-    the task: the members outside a group's largest component against all of it."""
+    the task: the members outside a group's largest component against all of it.
+
+    A pair that agrees in an earlier band is left to the bucket of that band, so it is listed once."""
 
     def run(t: pa.Table) -> pa.Table:
         ids, comp, size = (t[c].to_numpy() for c in ("id", "comp", "n"))
         regs = np.frombuffer(b"".join(t["regs"].to_pylist()), np.uint16).reshape(len(ids), -1)
         full = np.unpackbits(np.frombuffer(b"".join(t["full"].to_pylist()), np.uint8).reshape(len(ids), -1), axis=1).astype(bool)
         names, n = np.unique(comp, return_counts=True)
+        bands = band_keys(regs)
+        mine = np.flatnonzero(bands[0] == t["key"][0].as_py())  # none in buckets that were split
+        earlier = bands[:, : mine[0] if len(mine) else 0]
         out = []
         rest = np.flatnonzero(comp != names[n.argmax()])
         for at in range(0, len(rest), 16):
@@ -224,7 +229,8 @@ def _compared(groups: DataFrame, least: float) -> DataFrame:
             same = ((regs[k][:, None, :] == regs[None]) & full[k][:, None, :] & full[None]).sum(2)
             union = (full[k][:, None, :] | full[None]).sum(2)
             x, y = np.nonzero(_plausible(same, union, size[k][:, None], size[None], least) & (comp[k][:, None] != comp[None]))
-            out.append(np.stack([ids[k[x]], ids[y]], 1))
+            once = np.array([not (earlier[i] == earlier[j]).any() for i, j in zip(k[x], y, strict=True)], bool)
+            out.append(np.stack([ids[k[x]], ids[y]], 1)[once])
         pairs = np.unique(np.sort(np.concatenate(out), 1), axis=0) if out else np.zeros((0, 2), np.int64)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
