@@ -279,15 +279,15 @@ def q_corr_cross(spark, sf):
 
 def _cell(name, when, sql):
     def run(spark, sf):
-        return S.cells(spark, sf).where(when).select("tab", "row_no", "col_no", "header", F.substring("value", 1, 40).alias("preview"))
+        return S.cells(spark, sf).where(when() if callable(when) else when).select("tab", "row_no", "col_no", "header", F.substring("value", 1, 40).alias("preview"))
 
     run.__name__ = name
     query(f"WITH {CELLS} SELECT tab, row_no, col_no::INT AS col_no, header, substr(value, 1, 40) AS preview FROM cells WHERE {sql}")(run)
 
 
 _cell("q_csv_formula", "substr(value, 1, 1) IN ('=', '+', '-', '@')", "substr(value, 1, 1) IN ('=', '+', '-', '@')")
-_cell("q_csv_bidi", F.col("value").rlike(X.BIDI), f"regexp_matches(value, '{BIDI}')")
-_cell("q_csv_zero_width", F.col("value").rlike(X.ZERO_WIDTH), f"regexp_matches(value, '{ZW}')")
+_cell("q_csv_bidi", lambda: F.col("value").rlike(X.BIDI), f"regexp_matches(value, '{BIDI}')")
+_cell("q_csv_zero_width", lambda: F.col("value").rlike(X.ZERO_WIDTH), f"regexp_matches(value, '{ZW}')")
 _cell("q_csv_quoted_newlines", "(length(value) - length(replace(value, '\\n', '')) >= 2 AND length(value) > 128)", "(length(value) - length(replace(value, chr(10), '')) >= 2 AND length(value) > 128)")
 
 

@@ -30,8 +30,15 @@ def test_query_equals_sql(spark, name):
 
 
 def test_entry_module():
+    import subprocess
+    import sys
+
     import __spark_entry__ as e
 
+    root = os.path.dirname(os.path.abspath(e.__file__))
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True)
+    assert said.returncode == 0, said.stderr  # no session is needed to list the queries
+
     assert set(e.oracle_sql()) <= set(e.queries())
     assert len(e.queries()) > 50
 
