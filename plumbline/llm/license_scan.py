@@ -22,17 +22,18 @@ from .common import lower_ascii, read
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: License family -> (keyword that a text must hold, regex of its name over the word form).
+#: License family -> (keywords, regex of its name over the word form).  In every match of the regex a word starts with
+#: one of the keywords.
 FAMILIES: dict[str, tuple[str, str]] = {
     "mit-0": ("mit", "mit (?:0|no attribution)"),
-    "mit": ("mit", "(?:mit|expat|mit expat)"),
+    "mit": ("mit expat", "(?:mit|expat|mit expat)"),
     "apache-2": ("apache", "apache(?: software)?(?: license)?(?: version)? v?2(?: 0)?"),
     "apache-1.1": ("apache", "apache(?: software)?(?: license)?(?: version)? v?1 1"),
     "apache-1.0": ("apache", "apache(?: software)?(?: license)?(?: version)? v?1 0"),
-    "agpl-3": ("gpl", "(?:gnu )?agpl(?: version)? ?v?3(?: 0)?"),
-    "lgpl-3": ("gpl", "(?:gnu )?lgpl(?: version)? ?v?3(?: 0)?"),
-    "lgpl-2.1": ("gpl", "(?:gnu )?lgpl(?: version)? ?v?2 1"),
-    "lgpl-2": ("gpl", "(?:gnu )?lgpl(?: version)? ?v?2(?: 0)?"),
+    "agpl-3": ("agpl", "(?:gnu )?agpl(?: version)? ?v?3(?: 0)?"),
+    "lgpl-3": ("lgpl", "(?:gnu )?lgpl(?: version)? ?v?3(?: 0)?"),
+    "lgpl-2.1": ("lgpl", "(?:gnu )?lgpl(?: version)? ?v?2 1"),
+    "lgpl-2": ("lgpl", "(?:gnu )?lgpl(?: version)? ?v?2(?: 0)?"),
     "gpl-3": ("gpl", "(?:gnu )?gpl(?: version)? ?v?3(?: 0)?"),
     "gpl-2": ("gpl", "(?:gnu )?gpl(?: version)? ?v?2(?: 0)?"),
     "gpl-1": ("gpl", "(?:gnu )?gpl(?: version)? ?v?1(?: 0)?"),
@@ -43,8 +44,8 @@ FAMILIES: dict[str, tuple[str, str]] = {
     "gpl-3-long": ("gnu", "gnu general public license(?: version)? v?3(?: 0)?"),
     "gpl-2-long": ("gnu", "gnu general public license(?: version)? v?2(?: 0)?"),
     "gfdl": ("gnu", "gnu free documentation license(?: version)?(?: 1 [123])?"),
-    "bsd-0": ("bsd", "(?:bsd 0 clause|0bsd|zero clause bsd)"),
-    "bsd-2": ("bsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"),
+    "bsd-0": ("bsd 0bsd", "(?:bsd 0 clause|0bsd|zero clause bsd)"),
+    "bsd-2": ("bsd freebsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"),
     "bsd-3": ("bsd", "(?:bsd 3 clause|3 clause bsd|new bsd|revised bsd|modified bsd)"),
     "bsd-4": ("bsd", "(?:bsd 4 clause|4 clause bsd|original bsd)"),
     "isc": ("isc", "isc"),
@@ -88,7 +89,7 @@ FAMILIES: dict[str, tuple[str, str]] = {
     "openssl": ("openssl", "openssl"),
     "postgresql": ("postgresql", "postgresql"),
     "odbl-1": ("database", "open data ?commons open database license"),
-    "odc-by-1": ("commons", "open data ?commons attribution license"),
+    "odc-by-1": ("open", "open data ?commons attribution license"),
     "pddl-1": ("domain", "public domain dedication and license"),
     "ms-pl": ("microsoft", "microsoft public license"),
     "ms-rl": ("microsoft", "microsoft reciprocal license"),
@@ -97,7 +98,7 @@ FAMILIES: dict[str, tuple[str, str]] = {
     "osl-3": ("open", "open software license(?: version)? v?3(?: 0)?"),
     "afl-3": ("academic", "academic free license(?: version)? v?3(?: 0)?"),
     "ncsa": ("ncsa", "(?:university of illinois )?ncsa(?: open source)?"),
-    "upl-1": ("upl", "(?:universal permissive license|upl)(?: 1 0)?"),
+    "upl-1": ("upl permissive", "(?:universal permissive license|upl)(?: 1 0)?"),
     "bsl-1.1": ("business", "business source license(?: 1 1)?"),
     "sspl-1": ("server", "server side public license(?: version)?(?: 1)?"),
     "elastic-2": ("elastic", "elastic license(?: version)?(?: 2(?: 0)?)?"),
@@ -114,7 +115,7 @@ GRANTS = {
 }
 #: Whole sentences that stand for a license: label, keyword, regex.
 SENTENCES = [
-    ("mit", "furnished", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("bsd-3", "neither", "neither the name of .{1,120}? nor the names of its contributors"),
     ("bsd-2", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
@@ -132,9 +133,11 @@ GATE = "(?:licen[cs]e|licen[cs]ed|spdx|permission|copyright|cc|cc0|rights reserv
 
 
 def rules() -> list[tuple[str, str, str]]:
-    """(label, keyword, regex) in order of priority: sentences, then each grant over all families."""
-    named = [(k.removesuffix("-long"), kw, g.format(f"(?:{name})")) for g in GRANTS.values() for k, (kw, name) in FAMILIES.items()]
-    bare = [(k.removesuffix("-long"), kw, name) for k, (kw, name) in FAMILIES.items() if kw == "cc" or " license" in name]
+    """(label, keyword, regex) in order of priority: sentences, then each grant over all families.
+
+    A family of several keywords gives a rule for each; where both run, the second's places lie inside the first's."""
+    named = [(k.removesuffix("-long"), kw, g.format(f"(?:{name})")) for g in GRANTS.values() for k, (kws, name) in FAMILIES.items() for kw in kws.split()]
+    bare = [(k.removesuffix("-long"), kw, name) for k, (kws, name) in FAMILIES.items() for kw in kws.split() if kw == "cc" or " license" in name]
     return [*SENTENCES, *named, *bare]
 
 

@@ -104,3 +104,69 @@ def test_rule_list():
     for _, kw, r in L.rules():
         re.compile(r)
         assert re.fullmatch("[a-z0-9]+", kw)
+
+
+def matches(tree):
+    """All strings that a parsed regex matches (a run of any character stands as one word)."""
+    from re import _constants as C
+
+    out = [""]
+    for op, a in tree:
+        if op is C.LITERAL:
+            new = [chr(a)]
+        elif op is C.IN:
+            new = [chr(x) for o, x in a if o is C.LITERAL]
+            assert len(new) == len(a)
+        elif op is C.SUBPATTERN:
+            new = matches(a[3])
+        elif op is C.BRANCH:
+            new = [x for b in a[1] for x in matches(b)]
+        elif op is C.MAX_REPEAT and a[:2] == (0, 1):
+            new = ["", *matches(a[2])]
+        else:
+            assert op is C.MIN_REPEAT and a[2][0][0] is C.ANY, op
+            new = ["x"]
+        out = [x + y for x in out for y in new]
+    return out
+
+
+def rule_matches():
+    """regex -> (keywords, all of its matches)."""
+    from re import _parser
+
+    from plumbline.llm import license_scan as L
+
+    keys = {}
+    for _, kw, r in L.rules():
+        keys.setdefault(r, set()).add(kw)
+    return {r: (kws, matches(_parser.parse(r))) for r, kws in keys.items()}
+
+
+def ungated_labels(text):
+    """Labels by all regexes, without keyword or gate."""
+    from plumbline.llm import license_scan as L
+
+    form = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", H.low(text))) + " "
+    hits = [(m.start(), -m.end(), p, label) for p, (label, _, r) in enumerate(L.rules()) for m in re.finditer(f"(?<= ){r}(?= )", form)]
+    end, found = -1, []
+    for s, e, _, label in sorted(hits):
+        if -e > end:
+            end = -e
+            found.append((label, s, -e))
+    base = {label for p, label in L.BASE.items() if f" {p} " in form}
+    score = round(min(1.0, 0.5 + sum(e - s for _, s, e in found) / 200), 6) if found or base else 0.0
+    return ",".join(sorted(base | {f[0] for f in found})), score
+
+
+def test_license_keywords_are_in_every_match():
+    for r, (kws, all_) in rule_matches().items():
+        bad = [m for m in all_ if not any(f" {kw}" in f" {m}" for kw in kws)]
+        assert not bad, (r, kws, bad[:3])
+
+
+def test_license_scan_equals_ungated_regexes(spark):
+    texts = ["under the LGPL 2.1 license", "SPDX-License-Identifier: AGPL-3.0", "SPDX-License-Identifier: 0BSD", "the FreeBSD license", "the expat license", "under the universal permissive license"]
+    texts += [f"some license of {m} here" for _, all_ in rule_matches().values() for m in {all_[0], all_[len(all_) // 2], all_[-1]}]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licensed(H.table(spark, [(i, t, *[None] * 6) for i, t in enumerate(texts)]), spark).collect()}
+    bad = [(t, got[i], w) for i, t in enumerate(texts) if got[i] != (w := ungated_labels(t))]
+    assert not bad, (len(bad), bad[:5])
