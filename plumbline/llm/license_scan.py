@@ -2,8 +2,8 @@
 
 A text is lower-cased (A-Z) and reduced to its words, one blank around each.  A rule has a
 label, a keyword, a regular expression over that form and a priority (its place in the list,
-the first wins).  A regular expression runs only on texts that hold a gate word and the rule's
-keyword.  All places of all rules are sorted by start, longest first, then priority; a place
+the first wins).  A regular expression runs only on texts that hold a word that starts with the
+rule's keyword, as all its matches do.  All places of all rules are sorted by start, longest first, then priority; a place
 that lies inside an earlier one is suppressed.  The labels of the places left, and of the base
 phrases, are the result.
 
@@ -129,7 +129,6 @@ SENTENCES = [
     ("proprietary", "proprietary", "proprietary and confidential"),
     ("beerware", "beer", "you can buy me a beer in return"),
 ]
-GATE = "(?:licen[cs]e|licen[cs]ed|spdx|permission|copyright|cc|cc0|rights reserved|public domain|redistribution|proprietary|beer)"
 
 
 def rules() -> list[tuple[str, str, str]]:
@@ -141,6 +140,10 @@ def rules() -> list[tuple[str, str, str]]:
     return [*SENTENCES, *named, *bare]
 
 
+#: A word that starts with some rule's keyword: every match of every rule holds one, so nothing else is needed to look further.
+GATE = "(?:" + "|".join(sorted({kw for _, kw, _ in rules()})) + ")[^ ]*"
+
+
 def word_form(text) -> "F.Column":
     """The words of a text in lower case, with one blank before, between and after them."""
     return F.concat(F.lit(" "), F.btrim(F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS, " ")), F.lit(" "))
@@ -163,14 +166,18 @@ def _places(form, regex):
 def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, ``form``, ``n_words`` and ``found``: array of (label, s, e), suppressed places left out."""
     d = docs.select(*keep, word_form(F.col(text)).alias("form"))
-    table = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(f" {k}").alias("k"), F.lit(f"(?<= ){r}(?= )").alias("r"), F.lit(i).alias("p")) for i, (label, k, r) in enumerate(rules())])
+    by_key: dict[str, list] = {}
+    for i, (label, k, r) in enumerate(rules()):
+        by_key.setdefault(k, []).append(F.struct(F.lit(label).alias("label"), F.lit(f"(?<= ){r}(?= )").alias("r"), F.lit(i).alias("p")))
+    table = F.array(*[F.struct(F.lit(f" {k}").alias("k"), F.array(*rs).alias("rules")) for k, rs in by_key.items()])
 
     def of_rule(r):
         return F.transform(_places(F.col("form"), r["r"]), lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), r["p"].alias("p"), r["label"].alias("label")))
 
-    hits = F.sort_array(F.flatten(F.transform(F.filter(table, lambda r: F.contains(F.col("form"), r["k"])), of_rule)))
+    run = F.flatten(F.transform(F.filter(table, lambda r: F.contains(F.col("form"), r["k"])), lambda r: r["rules"]))
+    hits = F.sort_array(F.flatten(F.transform(run, of_rule)))
     kind = "array<struct<label:string,s:int,e:int>>"
-    d = d.select("*", F.when(F.col("form").rlike(f" {GATE} "), hits).alias("_hits"))
+    d = d.select("*", hits.alias("_hits"))
     zero = F.struct(F.lit(-1).alias("end"), F.array().cast(kind).alias("all"))
     step = lambda a, x: F.when(-x["e"] <= a["end"], a).otherwise(F.struct((-x["e"]).alias("end"), F.array_append(a["all"], F.struct(x["label"].alias("label"), x["s"].alias("s"), (-x["e"]).alias("e"))).alias("all")))
     return d.select(*keep, "form", (F.length("form") - F.length(F.replace("form", F.lit(" "), F.lit("")))).alias("_blanks"), F.coalesce(F.aggregate("_hits", zero, step)["all"], F.array().cast(kind)).alias("found"))

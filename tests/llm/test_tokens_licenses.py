@@ -170,3 +170,12 @@ def test_license_scan_equals_ungated_regexes(spark):
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in licensed(H.table(spark, [(i, t, *[None] * 6) for i, t in enumerate(texts)]), spark).collect()}
     bad = [(t, got[i], w) for i, t in enumerate(texts) if got[i] != (w := ungated_labels(t))]
     assert not bad, (len(bad), bad[:5])
+
+
+def test_license_scan_needs_no_word_beside_the_match(spark):
+    texts = ["Released under the MIT.", "distributed under the GPL 2.0", "available under Apache 2.0", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable", "neither the name of X nor the names of its contributors"]
+    texts += [m for _, all_ in rule_matches().values() for m in {all_[0], all_[-1]}]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licensed(H.table(spark, [(i, t, *[None] * 6) for i, t in enumerate(texts)]), spark).collect()}
+    bad = [(t, got[i], w) for i, t in enumerate(texts) if got[i] != (w := ungated_labels(t))]
+    assert not bad, (len(bad), bad[:5])
+    assert all(got[i][0] for i in range(5))
