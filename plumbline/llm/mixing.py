@@ -75,9 +75,12 @@ def mix(docs: DataFrame) -> DataFrame:
 
     Rows of one id must agree in source and text; copies are dealt to ids, then to their rows in turn."""
     sized = docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"))
-    taken = plan(sized).groupBy("doc_id").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0").withColumnRenamed("doc_id", "_id")
+    taken = cut(plan(sized).groupBy("doc_id").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0").withColumnRenamed("doc_id", "_id"), "mix-taken")
     j = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-    each = F.expr("cast(ceil(_copies / _rows) as int)")
+    # only rows of ids with several rows are numbered
+    several = j.where("_rows > 1").withColumn("_row", F.row_number().over(Window.partitionBy("_id").orderBy("_id")))
+    j = j.where("_rows = 1").withColumn("_row", F.lit(1)).unionByName(several)
+    each = F.expr("cast((_copies + _rows - _row) div _rows as int)")
     return j.select(*[F.col(c) for c in docs.columns], F.explode(F.array_repeat(F.lit(1), each)).alias("_copy")).drop("_copy")
 
 

@@ -215,3 +215,14 @@ def test_mix_targets_and_copies(spark):
     got = Counter(r["doc_id"] for r in mixed.collect())
     assert all(got[i] == copies[i] for i in once)
     assert M.plan(H.table(spark, []).select("doc_id", "source", F.lit(0).cast("long").alias("size"))).collect() == []
+
+
+def test_mix_deals_copies_to_the_rows_of_an_id_in_turn(spark):
+    from plumbline.llm import mixing as M
+
+    data = [(i, f"w{i} " * 5, "en", "b", None, None, None, None) for i in (None, None, None, 7, 7, 7, 7, 8, 9)] + [(i, "x y", "en", "a", None, None, None, None) for i in range(20, 25)]
+    d = H.table(spark, data)
+    copies = {r[0]: r[1] for r in M.plan(d.select("doc_id", "source", M.n_words(d["text"]).alias("size"))).groupBy("doc_id").sum("copies").collect()}
+    got = {r[0]: r[1] for r in M.mix(d).groupBy("doc_id").count().collect()}
+    assert got == {k: n for k, n in copies.items() if n}
+    assert any(copies[k] % sum(r[0] == k for r in data) for k in (None, 7))
