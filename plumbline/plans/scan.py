@@ -45,6 +45,12 @@ def units_of(raw: bytes, name: str, nested: int = 0):
     return kind, mismatch, out
 
 
+def unread(name: str, length: int):
+    """(kind, mismatch, units) of a file too large to read; its kind is that of its name alone."""
+    kind, _, _ = route(b"", name)
+    return kind, False, [("file", name, "", {"kind": kind, "ext": extension(name), "length": length, "mismatch": False, "other_office": False}), ("scan_limited", name, "file size", {})]
+
+
 def _parsed(raw: bytes, kind: str, nested: int):
     text = lambda: raw.decode("utf-8", "replace")
     if kind in ("markdown", "code"):
@@ -93,15 +99,17 @@ def _inner(raw: bytes, name: str, nested: int, parent: str):
 
 
 def decompose(files: DataFrame) -> DataFrame:
-    """files(file_id, content) -> units; file_id ends in the file's name."""
+    """files(file_id, content) -> units; file_id ends in the file's name.
+
+    Where there is a column ``length``, a file whose content was not read (null) is limited, not empty."""
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 16):
                 part = b.slice(at, 16)
                 cols: list[list] = [[] for _ in range(8)]
-                for file_id, raw in zip(part.column("file_id").to_pylist(), part.column("content").to_pylist(), strict=True):
-                    kind, mismatch, units = units_of(raw or b"", file_id or "")
+                for file_id, raw, length in zip(*(part.column(c).to_pylist() for c in ("file_id", "content", "length")), strict=True):
+                    kind, mismatch, units = units_of(raw or b"", file_id or "") if raw is not None or not length else unread(file_id or "", length)
                     for i, (unit, loc, text, a) in enumerate(units):
                         plain = text.encode("utf-8", "replace").decode("utf-8")
                         attrs = [(k, str(v).lower() if isinstance(v, bool) else str(v)) for k, v in a.items() if not isinstance(v, bytes)]
@@ -110,7 +118,8 @@ def decompose(files: DataFrame) -> DataFrame:
                 kinds = (pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["file_id", "kind", "mismatch", "ord", "unit", "loc", "text", "a"])
 
-    return files.select("file_id", "content").mapInArrow(run, UNITS)
+    length = F.col("length").cast("long") if "length" in files.columns else F.lit(None).cast("long")
+    return files.select("file_id", "content", length.alias("length")).mapInArrow(run, UNITS)
 
 
 @dataclass
@@ -124,9 +133,11 @@ class Scan:
 
 
 def read_files(spark: SparkSession, path: str, max_size: int = MAX_FILE) -> DataFrame:
-    """A folder of files; sizes are filtered before contents are read."""
+    """A folder of files with their lengths; those larger than ``max_size`` have null content, which is never read."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return f.where(F.col("length") <= max_size).select(F.col("path").alias("file_id"), "content")
+    name = F.col("path").alias("file_id")
+    small = f.where(F.col("length") <= max_size).select(name, "content", "length")
+    return small.unionByName(f.where(F.col("length") > max_size).select(name, F.lit(None).cast("binary").alias("content"), "length"))
 
 
 def ranked(found: DataFrame) -> DataFrame:

@@ -60,3 +60,13 @@ def test_mechanism_dimension():
     # two are reserved and never emitted; the rest come from grouped plans or words
     silent = set(names) - {d.mechanism for d in DETECTORS}
     assert silent == {"overlapping_text", "homoglyph", "coordinated_concealment", "cross_format_payload_match", "video_cross_stem_divergence", "audio_cross_stem_divergence", "cross_stem_inventory", "cross_stem_undeclared_text"}
+
+
+def test_files_too_large_to_read_are_reported(spark, tmp_path):
+    (tmp_path / "small.md").write_bytes(b"plain words\n")
+    (tmp_path / "large.mp4").write_bytes(b"x" * 5000)
+    files = P.read_files(spark, str(tmp_path), 1000)
+    assert {r["file_id"].rpartition("/")[2]: r["content"] is None for r in files.collect()} == {"small.md": False, "large.mp4": True}
+    s = P.scan(files)
+    assert {r["file_id"].rpartition("/")[2]: r["incomplete"] for r in s.reports.collect()} == {"small.md": False, "large.mp4": True}
+    assert {r["mechanism"] for r in s.findings.collect() if r["file_id"].endswith("large.mp4")} == {"scan_limited"}
