@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from . import helpers as H
 from .test_near_lines_mix import key
@@ -182,3 +183,61 @@ def test_quality_rules_and_urls_on_awkward_rows(spark):
     assert {r["host"] for r in rep} == {r["host"] for r in p.collect()} and all(0 <= r["mean"] <= 1 for r in rep)
     assert len(U.reputation(p.select("page_id", "host"), o.where("false")).collect()) == len(rep)
     assert U.reputation(p.select("page_id", "host").where("false"), o).collect() == []
+
+
+def marked_pictures(n=9):
+    """(id, corners' points, bits) by hand: all pictures hold one mark of 4 corners, each at a place of its own; ids 4 and 5 hold
+    8 more alike, whose parts lie in buckets of unrelated pictures with smaller ids, each in turn."""
+    rng = np.random.default_rng(8)
+    mark, more = rng.integers(0, 256, (4, 32), np.uint8), rng.integers(0, 256, (8, 32), np.uint8)
+    place = rng.uniform(0, 90, (8, 2))
+    out = []
+    for i in range(n):
+        own = rng.integers(0, 256, (20, 32), np.uint8)
+        xy = rng.uniform(0, 90, (32, 2))
+        bits = np.concatenate([mark, own, more if i in (4, 5) else rng.integers(0, 256, (8, 32), np.uint8)])
+        if i in (4, 5):
+            xy[24:] = place + i
+        out.append((i, np.c_[xy, np.ones(32), np.zeros(32)].astype(np.float32), bits))
+    for t, (_, _, bits) in enumerate(out[:2]):  # hubs by id
+        for c in range(8):
+            bits[24 + c] = rng.integers(0, 256, 32)
+            bits[24 + c, 4 * ((c + t) % 8) : 4 * ((c + t) % 8) + 4] = more[c, 4 * ((c + t) % 8) : 4 * ((c + t) % 8) + 4]
+    return out
+
+
+@pytest.mark.parametrize("n, small, block", [(9, 99, 256), (9, 2, 4), (40, 8, 16)])
+def test_image_copies_across_components(spark, monkeypatch, n, small, block):
+    from plumbline.llm import image_copies as I
+
+    made = marked_pictures(n)
+    want = {(x[0], y[0]) for k, x in enumerate(made) for y in made[k + 1 :] if len(np.intersect1d(I.parts_of(x[2]), I.parts_of(y[2]))) >= I.VOTES and I.agreeing(x[1], x[2], y[1], y[2]) >= I.INLIERS}
+    assert want == {(4, 5)}
+    monkeypatch.setattr(I, "SMALL", small)
+    monkeypatch.setattr(I, "BLOCK", block)
+    k = spark.createDataFrame([(i, bytearray(p.tobytes()), bytearray(b.tobytes())) for i, p, b in made], "media_id long, points binary, bits binary")
+    parts = spark.createDataFrame([(i, key) for i, _, b in made for key in I.parts_of(b).tolist()], "id long, key long")
+    shared = parts.groupBy("key").count().where("count > 1").select("key")
+    none = spark.createDataFrame([], "a long, b long")
+    got = {tuple(r) for r in I._residual(parts, shared, none.toDF("id", "label"), none, k).collect()}
+    assert got == want
+
+
+def test_image_copies_find_pairs_that_are_no_hubs(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from plumbline.llm import image_copies as I
+
+    made = marked_pictures()
+    rest = made[4][2], made[5][2]
+    for i in range(9):  # every part that 4 and 5 share is in all the others too, where no geometry fits
+        if i not in (4, 5):
+            made[i] = (i, made[i][1], np.concatenate([made[i][2][:24], rest[0][24:]]))
+    rows = [(i, len(b), bytearray(p.tobytes()), bytearray(b.tobytes()), I.parts_of(b).tolist()) for i, p, b in made]
+    d = spark.createDataFrame(rows, "media_id long, n_corners long, points binary, bits binary, parts array<long>")
+    monkeypatch.setattr(I, "describe", lambda media: d)
+    media = spark.createDataFrame([(i, bytearray(b"picture %d" % i)) for i in range(9)], "media_id long, media binary")
+    got = {r[0]: r[2] for r in I.image_classes(media).collect()}
+    hubs = spark.range(9).agg(F.min_by("id", F.xxhash64("id"))).first()[0]
+    assert hubs not in (4, 5)
+    assert got == {i: 4 if i == 5 else i for i in range(9)}
