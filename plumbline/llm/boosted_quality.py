@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read
+from .common import read, slices
 
 SAMPLE, BINS, TREES, DEPTH, RATE, LEAST, L2, SEED = 20_000, 64, 60, 4, 0.15, 20, 1.0, 7
 FEATURES = [
@@ -64,13 +64,13 @@ def statistics(text: str | None) -> list[float]:
     lines = [x for x in raw.split(b"\n") if x.strip()]
     p = count[count > 0] / size
     caps = sum(w.isupper() for w in words)
-    fours = {tuple(words[i : i + 4]) for i in range(0, max(1, n - 3))} if n <= 400 else set(zip(words, words[1:], words[2:], words[3:]))
+    fours = set(zip(words, words[1:], words[2:], words[3:]))
     ends = sum(x.rstrip()[-1:] in (b".", b"!", b"?", b":") for x in lines)
     return [
         np.log1p(n), np.log1p(size), lens.mean(), float((lens > 14).mean()), share["upper"], share["digit"], share["punct"], share["symbol"], share["mark"],
         share["non_ascii"], share["pipe"], share["angle"], len(freq) / n, top[0] / n, sum(top) / n, float((lens == 1).mean()), len(lines) / n,
         size / len(lines), 1 - len(set(lines)) / len(lines), sum(len(x) < 30 for x in lines) / len(lines), ends / len(lines), caps / n,
-        sum(97 <= x.lstrip()[0] <= 122 for x in lines) / len(lines), len(_URL.findall(raw)) / n, float(-(p * np.log2(p)).sum()), 1 - len(fours) / max(1, n - 3),
+        sum(97 <= x.lstrip()[0] <= 122 for x in lines) / len(lines), len(_URL.findall(raw)) / n, float(-(p * np.log2(p)).sum()), 1 - len(fours) / (n - 3) if n > 3 else 0.0,
         float(np.log1p(lens.max())), share["brackets"],
     ]
 
@@ -145,7 +145,7 @@ def with_statistics(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """``keep`` columns and ``stats`` array<double>."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, "_text"):
             stats = [statistics(t) for t in b.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(stats, pa.list_(pa.float64()))], names=[*keep, "stats"])
 
@@ -168,12 +168,10 @@ def score(docs: DataFrame, forest: Forest, keep: tuple[str, ...] = ("doc_id",))
     cols, again = [c for c in keep if c != "text"], "text" in keep
 
     def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                x = np.array([statistics(t) for t in part.column("_text").to_pylist()]).reshape(-1, len(FEATURES))
-                own = [part.column(c) for c in cols] + [part.column("_text")] * again
-                yield pa.RecordBatch.from_arrays([*own, pa.array(forest.score(x))], names=[*cols, *["text"] * again, "score"])
+        for part in slices(batches, "_text", 1 << 20):
+            x = np.array([statistics(t) for t in part.column("_text").to_pylist()]).reshape(-1, len(FEATURES))
+            own = [part.column(c) for c in cols] + [part.column("_text")] * again
+            yield pa.RecordBatch.from_arrays([*own, pa.array(forest.score(x))], names=[*cols, *["text"] * again, "score"])
 
     d = docs.select(*cols, F.col("text").alias("_text"))
     text = [T.StructField("text", T.StringType())] * again

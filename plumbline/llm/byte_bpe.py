@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -25,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read
+from .common import read, slices
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens whose ids a worker remembers; the memory is emptied beyond it.
-REMEMBERED = 300_000
+REMEMBERED = 50_000
 
 
 def byte_alphabet() -> list[str]:
@@ -129,18 +128,12 @@ def public_vocabulary(name: str = VOCABULARY) -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
-
-
 def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), vocabulary: str = VOCABULARY) -> DataFrame:
     """``keep`` columns and ``ids`` array<int> of every whole text."""
 
     def run(batches):
         bpe = tokenizer(*public_vocabulary(vocabulary))
-        for b in _slices(batches):
+        for b in slices(batches, "_text", 1 << 20):
             ids = [bpe.encode(t) if t else [] for t in b.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(ids, pa.list_(pa.int32()))], names=[*keep, "ids"])
 
@@ -155,7 +148,7 @@ def decode(encoded: DataFrame, ids: str = "ids", vocabulary: str = VOCABULARY) -
 
     def run(batches):
         bpe = tokenizer(*public_vocabulary(vocabulary))
-        for b in _slices(batches):
+        for b in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             col = b.column(ids)
             flat = col.flatten().to_numpy(zero_copy_only=False)
             n = [0 if x is None else x for x in pa.compute.list_value_length(col).to_pylist()]

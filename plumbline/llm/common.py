@@ -5,7 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,15 +43,37 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, instead: DataFrame | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    A lost executor then costs only the tasks that read it; files go when the driver ends."""
+    A lost executor then costs only the tasks that read it.  ``instead``: a table written before that nothing reads
+    from now on.  The others go when the driver ends, or by ``release``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/plumbline-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._plumbline_path = path
+    if instead is not None:
+        release(instead)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and that nothing reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, t._plumbline_path)
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Parts of batches with about ``most`` bytes in column ``text``, or one row: what Python holds of a batch at once."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))
+            yield b.slice(at, end - at)
+            at = end
 
 
 def lower_ascii(col):

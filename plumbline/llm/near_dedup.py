@@ -16,7 +16,7 @@ their own, so that two registers agree with the probability of the sets' Jaccard
 4. Components of confirmed links, by label propagation.
 5. Buckets that still hold several components: their members are compared across components by
    registers, inside tasks (small buckets by a join), and plausible pairs are confirmed.  Buckets
-   larger than ``BLOCK`` are split by a further band, then into blocks of bounded size.
+   larger than ``BLOCK`` are dealt into blocks of bounded size, every two of which meet in a task.
    Components of all links are the classes.
 
 No limit on partners or bucket sizes: hot buckets shuffle as rows and adaptive joins split them.
@@ -37,8 +37,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, read
+from .common import cut, read, release, slices
 from .components import connected
+from .word_hashes import mix as _mix
+from .word_hashes import words
 
 REGISTERS, BANDS, ROWS, MANTISSA, PROBES = 256, 64, 8, 10, 6
 #: Buckets up to SMALL are paired by a join, up to BLOCK in one task, beyond in blocks of it.
@@ -51,13 +53,6 @@ COLLISION = 1 / 3 / 2**MANTISSA
 _U = np.uint64
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """The splitmix64 finaliser."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
 _SALT = _mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 _PROBE = (_mix(np.arange(1, REGISTERS * PROBES + 1, dtype=np.uint64) * _U(0xD1342543DE82EF95)) % _U(REGISTERS)).astype(np.int64).reshape(PROBES, REGISTERS)
 _COLUMNS = np.argsort(_mix(np.arange(1, BANDS * REGISTERS + 1, dtype=np.uint64) * _U(0xA0761D6478BD642F)).reshape(BANDS, REGISTERS), axis=1)[:, :ROWS]
@@ -65,59 +60,39 @@ _WEIGHT = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _U(0xE7037ED1A0
 _BAND = _mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _U(0x8EBC6AF09C88C6E3))
 
 
-class Words:
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __init__(self, limit: int = 500_000):
-        self.known: dict[bytes, int] = {}
-        self.limit = limit
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        out = [known.get(w) for w in words]
-        if None in out:
-            for i, v in enumerate(out):
-                if v is None:
-                    w = words[i]
-                    v = known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-                    out[i] = v
-        return np.array(out, np.uint64)
-
-
-def shingle_set(text: str | None, hashes: Words, size: int) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of a text."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = hashes(words)
-    k = min(size, len(words))
-    h = np.full(len(w) - k + 1, k, np.uint64)
-    for i in range(k):
-        h = _mix(h * _U(0x9E3779B97F4A7C15) + w[i : len(w) - k + 1 + i])
-    return np.unique(h)
-
-
-def registers(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Registers of a non-empty set, and which buckets its own shingles fill."""
-    bucket = (s >> _U(64 - _BITS)).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-    full = np.zeros(REGISTERS, bool)
-    full[bucket[first]] = True
-    least = np.zeros(REGISTERS, np.uint64)
-    least[bucket[first]] = s[first] << _U(_BITS)
-    todo = np.flatnonzero(~full)
+def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its shingles."""
+    first, _, _, w, _ = words(texts, fold=True)
+    n = np.diff(first)
+    out = [np.zeros(0, np.uint64)] * len(n)
+    h = np.zeros(len(w), np.uint64)
+    for i in range(size):  # h: hashes of the i + 1 words from each place
+        h = _mix(h[: len(w) - i] * _U(0x9E3779B97F4A7C15) + w[i:]) if i < len(w) else h[:0]
+        for r in np.flatnonzero(n == i + 1) if i + 1 < size else np.flatnonzero(n >= size):
+            s = np.sort(h[first[r] : first[r + 1] - i])
+            out[r] = s[np.concatenate([[True], s[1:] != s[:-1]])]
+    return out
+
+
+def registers(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Registers of non-empty sets (rows x REGISTERS), and which buckets their own shingles fill."""
+    rows, flat = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+    at = rows * REGISTERS + (flat >> _U(64 - _BITS)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    full, least = np.zeros((len(sets), REGISTERS), bool), np.zeros((len(sets), REGISTERS), np.uint64)
+    full.ravel()[at[first]] = True
+    least.ravel()[at[first]] = flat[first] << _U(_BITS)
+    todo = ~full
     for probe in _PROBE:
-        if not len(todo):
-            break
-        hit = full[probe[todo]]
+        r, b = np.nonzero(todo & full[:, probe])
         # what is borrowed is salted by the bucket it goes to
-        least[todo[hit]] = _mix(least[probe[todo[hit]]] ^ _SALT[todo[hit]])
-        todo = todo[~hit]
-    for at in range(0, len(todo), 64):
-        part = todo[at : at + 64]
-        least[part] = _mix(s[None, :] ^ _SALT[part][:, None]).min(1)
+        least[r, b] = _mix(least[r, probe[b]] ^ _SALT[b])
+        todo[r, b] = False
+    for r in np.flatnonzero(todo.any(1)):
+        missing = np.flatnonzero(todo[r])
+        for k in range(0, len(missing), 64):
+            part = missing[k : k + 64]
+            least[r, part] = _mix(sets[r][None, :] ^ _SALT[part][:, None]).min(1)
     m, e = np.frexp((least >> _U(11)).astype(np.float64))  # 53 bits: exact
     code = np.where(least >> _U(11) > 0, ((53 - e) << MANTISSA) | ((m * 2 - 1) * 2**MANTISSA).astype(np.int64), 63 << MANTISSA)
     return code.astype(np.uint16), full
@@ -132,36 +107,33 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, digest (of the set), regs, full (bit set) of every row."""
 
     def run(batches):
-        hashes = Words()
-        for b in batches:
-            n, digest, regs, full = [], [], [], []
-            for t in b.column("text").to_pylist():
-                s = shingle_set(t, hashes, size)
-                n.append(len(s))
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                if len(s):
-                    r, f = registers(s)
-                    regs.append(r.tobytes())
-                    full.append(np.packbits(f).tobytes())
-                else:
-                    regs.append(None)
-                    full.append(None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (digest, regs, full))], names=["doc_id", "n_shingles", "digest", "regs", "full"])
+        for b in slices(batches, "text"):
+            sets = shingle_sets(b.column("text"), size)
+            regs, full = [None] * len(sets), [None] * len(sets)
+            some = [i for i, s in enumerate(sets) if len(s)]
+            for i, r, f in zip(some, *registers([sets[i] for i in some]), strict=True) if some else ():
+                regs[i], full[i] = r.tobytes(), np.packbits(f).tobytes()
+            digest = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.binary()) for x in (digest, regs, full))], names=["doc_id", "n_shingles", "digest", "regs", "full"])
 
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("n_shingles long, digest binary, regs binary, full binary").fields]))
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """id, set (binary of sorted hashes) of every row."""
+    """id, set (sorted hashes as longs) of every row."""
 
     def run(batches):
-        hashes = Words()
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([shingle_set(t, hashes, size).tobytes() for t in part.column("text").to_pylist()], pa.binary())], names=["id", "set"])
+        for b in slices(batches, "text"):
+            sets = shingle_sets(b.column("text"), size)
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["id", "set"])
+
+    return docs.mapInArrow(run, "id long, set array<long>")
 
-    return docs.mapInArrow(run, "id long, set binary")
+
+def _matrix(col: pa.Array, kind: type) -> np.ndarray:
+    """A binary column of equal lengths as rows x values."""
+    return np.frombuffer(b"".join(col.to_pylist()), kind).reshape(len(col), -1)
 
 
 def _members(reps: DataFrame) -> DataFrame:
@@ -169,12 +141,10 @@ def _members(reps: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            if b.num_rows:
-                regs = np.frombuffer(b"".join(b.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-                for at in range(0, len(regs), 512):
-                    keys = band_keys(regs[at : at + 512])
-                    ids = np.repeat(b.column("id").to_numpy()[at : at + 512], BANDS)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], names=["key", "id"])
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                keys = band_keys(_matrix(part.column("regs"), np.uint16))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column("id").to_numpy(), BANDS))], names=["key", "id"])
 
     return reps.select("id", "regs").mapInArrow(run, "key long, id long")
 
@@ -195,14 +165,13 @@ def _estimated(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     """pairs(a, b) whose estimate allows a similarity of ``least``."""
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            get = lambda c, kind: np.frombuffer(b"".join(b.column(c).to_pylist()), kind).reshape(b.num_rows, -1)  # noqa: B023, E731
-            union = np.unpackbits(get("fa", np.uint8) | get("fb", np.uint8), axis=1).sum(1, dtype=np.int64)
-            both = np.unpackbits(get("fa", np.uint8) & get("fb", np.uint8), axis=1).astype(bool)
-            same = ((get("ra", np.uint16) == get("rb", np.uint16)) & both).sum(1)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(_plausible(same, union, b.column("na").to_numpy(), b.column("nb").to_numpy(), least)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                b = batch.slice(at, 1024)
+                fa, fb = (np.unpackbits(_matrix(b.column(c), np.uint8), axis=1).astype(bool) for c in ("fa", "fb"))
+                same = ((_matrix(b.column("ra"), np.uint16) == _matrix(b.column("rb"), np.uint16)) & fa & fb).sum(1)
+                stay = _plausible(same, (fa | fb).sum(1), b.column("na").to_numpy(), b.column("nb").to_numpy(), least)
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(stay))
 
     r = reps.select("id", "regs", "full", "n")
     j = pairs.join(r.toDF("a", "ra", "fa", "na"), "a").join(r.toDF("b", "rb", "fb", "nb"), "b")
@@ -217,12 +186,11 @@ def _compared(groups: DataFrame, least: float) -> DataFrame:
 
     def run(t: pa.Table) -> pa.Table:
         ids, comp, size = (t[c].to_numpy() for c in ("id", "comp", "n"))
-        regs = np.frombuffer(b"".join(t["regs"].to_pylist()), np.uint16).reshape(len(ids), -1)
-        full = np.unpackbits(np.frombuffer(b"".join(t["full"].to_pylist()), np.uint8).reshape(len(ids), -1), axis=1).astype(bool)
+        regs = _matrix(t["regs"], np.uint16)
+        full = np.unpackbits(_matrix(t["full"], np.uint8), axis=1).astype(bool)
         names, n = np.unique(comp, return_counts=True)
         bands = band_keys(regs)
-        mine = np.flatnonzero(bands[0] == t["key"][0].as_py())  # none in buckets that were split
-        earlier = bands[:, : mine[0] if len(mine) else 0]
+        earlier = bands[:, : np.flatnonzero(bands[0] == t["key"][0].as_py())[0]]
         out = []
         rest = np.flatnonzero(comp != names[n.argmax()])
         for at in range(0, len(rest), 16):
@@ -230,8 +198,10 @@ def _compared(groups: DataFrame, least: float) -> DataFrame:
             same = ((regs[k][:, None, :] == regs[None]) & full[k][:, None, :] & full[None]).sum(2)
             union = (full[k][:, None, :] | full[None]).sum(2)
             x, y = np.nonzero(_plausible(same, union, size[k][:, None], size[None], least) & (comp[k][:, None] != comp[None]))
-            once = np.array([not (earlier[i] == earlier[j]).any() for i, j in zip(k[x], y, strict=True)], bool)
-            out.append(np.stack([ids[k[x]], ids[y]], 1)[once])
+            for part in range(0, len(x), 4096):
+                i, j = k[x[part : part + 4096]], y[part : part + 4096]
+                once = ~(earlier[i] == earlier[j]).any(1)
+                out.append(np.stack([ids[i], ids[j]], 1)[once])
         pairs = np.unique(np.sort(np.concatenate(out), 1), axis=0) if out else np.zeros((0, 2), np.int64)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
@@ -239,34 +209,9 @@ def _compared(groups: DataFrame, least: float) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs(a, b) -> a, b, common, total: sizes of intersection and union of the full sets."""
-
-    def run(batches):
-        for b in batches:
-            common, total = [], []
-            for x, y in zip(b.column("sa"), b.column("sb"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                k = len(np.intersect1d(x, y, assume_unique=True))
-                common.append(k)
-                total.append(len(x) + len(y) - k)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(common, pa.int64()), pa.array(total, pa.int64())], names=["a", "b", "common", "total"])
-
-    return pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").mapInArrow(run, "a long, b long, common long, total long")
-
-
-def _split(open_: DataFrame) -> DataFrame:
-    """(key, id) of buckets too large for a task: members meet again where a second band agrees too."""
-
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                r = np.frombuffer(b"".join(b.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-                old = b.column("key").to_numpy().view(np.uint64)
-                for at in range(0, len(r), 512):
-                    keys = _mix(band_keys(r[at : at + 512]).view(np.uint64) + _mix(old[at : at + 512] + _U(1))[:, None])
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(b.column("id").to_numpy()[at : at + 512], BANDS))], names=["key", "id"])
-
-    return open_.select("key", "id", "regs").mapInArrow(run, "key long, id long")
+    """pairs(a, b) -> a, b, common, total: sizes of intersection and union of the full sets, a row at a time in the JVM."""
+    j = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("both"))
+    return j.select("a", "b", F.col("common").cast("long"), (F.col("both") - F.col("common")).cast("long").alias("total"))
 
 
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -284,10 +229,6 @@ def _residual(members: DataFrame, labels: DataFrame, reps: DataFrame, least: flo
     few = _estimated(x.join(y, "key").where("a < b AND ca != cb").select("a", "b").distinct(), reps, least)
     r = reps.select("id", "regs", "full", F.col("n").alias("_size"))
     large = open_.where(F.col("n") > SMALL)
-    huge = large.where(F.col("n") > BLOCK)
-    if not huge.isEmpty():
-        again = _mixed(_split(huge.join(r, "id")), labels)
-        large = large.where(F.col("n") <= BLOCK).unionByName(cut(again.select(*large.columns), "near-split"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     g = large.withColumn("_o", own).withColumn("_b", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -314,8 +255,11 @@ def _components(reps: DataFrame, docs: DataFrame, size: int, percent: int, same:
     labels = connected(links)
     more = cut(confirmed(cut(_residual(members, labels, reps, least), "near-pairs")), "near-links")
     if more.isEmpty():
+        release(members, sets, links, more)
         return labels
-    return connected(links.unionByName(more))
+    out = connected(links.unionByName(more))
+    release(members, sets, links, more)
+    return out
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -329,8 +273,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     classes = reps.select("digest", "id")
     # rows of one id are one node: the classes of its sets are linked
     several = some.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo != hi").select("doc_id")
-    its = some.join(several, "doc_id", "left_semi").join(classes, "digest").groupBy("doc_id").agg(F.collect_set("id").alias("ids"))
-    same = cut(its.select(F.array_min("ids").alias("a"), F.explode("ids").alias("b")).where("a != b"), "near-same")
+    its = some.join(several, "doc_id", "left_semi").join(classes, "digest").select("doc_id", "id").distinct()
+    ends = its.groupBy("doc_id").agg(F.min("id").alias("a"))
+    same = cut(its.join(ends, "doc_id").select("a", F.col("id").alias("b")).where("a != b"), "near-same")
     labels = _components(reps, d, shingle, percent, same)
     j = rows.join(classes, "digest", "left").join(labels.toDF("id", "_label"), "id", "left")
     comp = F.coalesce("_label", "id", "doc_id")

@@ -30,8 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, read
-from .near_dedup import Words, _mix
+from .common import cut, read, slices
+from .word_hashes import mix as _mix
+from .word_hashes import words
 
 WINDOW, K = 50, 8
 _U = np.uint64
@@ -81,26 +82,23 @@ def edges(docs: DataFrame) -> DataFrame:
     """doc_id, d8 (row key), n_words, digest (of the words, one blank between), and chosen k-mers: places, hashes, links (binary)."""
 
     def run(batches):
-        hashes = Words()
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                n, digest, pos, km, link = [], [], [], [], []
-                for t in part.column("text").to_pylist():
-                    words = _words(t)
-                    n.append(len(words))
-                    digest.append(hashlib.sha256(b" ".join(words)).digest())
-                    if len(words) < WINDOW:
-                        p, k, e = (np.zeros(0, np.int64),) * 3
-                    else:
-                        w = hashes(words)
-                        k, p = chosen(w)
-                        p = np.unique(p)
-                        k, e = k[p], _links(w, p)
-                    pos.append(p.astype(np.int64).tolist())
-                    km.append(k.view(np.int64).tolist())
-                    link.append(e.view(np.int64).tolist())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("d8"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), *(pa.array(x, pa.list_(pa.int64())) for x in (pos, km, link))], names=["doc_id", "d8", "n_words", "digest", "pos", "kmer", "link"])
+        for part in slices(batches, "text"):
+            n, digest, pos, km, link = [], [], [], [], []
+            begin, _, _, hashes, _ = words(part.column("text"))
+            for t, first, last in zip(part.column("text").to_pylist(), begin[:-1], begin[1:], strict=True):
+                n.append(last - first)
+                digest.append(hashlib.sha256(b" ".join(_words(t))).digest())
+                w = hashes[first:last]
+                if len(w) < WINDOW:
+                    p, k, e = (np.zeros(0, np.int64),) * 3
+                else:
+                    k, p = chosen(w)
+                    p = np.unique(p)
+                    k, e = k[p], _links(w, p)
+                pos.append(p.astype(np.int64).tolist())
+                km.append(k.view(np.int64).tolist())
+                link.append(e.view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("d8"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), *(pa.array(x, pa.list_(pa.int64())) for x in (pos, km, link))], names=["doc_id", "d8", "n_words", "digest", "pos", "kmer", "link"])
 
     kind = "d8 long, n_words long, digest binary, pos array<long>, kmer array<long>, link array<long>"
     return docs.select("doc_id", "text", _row_key()).mapInArrow(run, T.StructType([docs.schema["doc_id"], *T._parse_datatype_string(kind).fields]))
@@ -130,18 +128,17 @@ def open_windows(docs: DataFrame, hits: DataFrame) -> DataFrame:
     windows to compare: starts and both hashes."""
 
     def run(batches):
-        hashes = Words()
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+        for b in [None]:
+            for part in slices(batches, "text"):
+                begin, _, _, hashes, _ = words(part.column("text"))
                 ids, keys, texts, spans, starts, one, two = [], [], [], [], [], [], []
-                for doc, d8, text, hit in zip(*(part.column(c).to_pylist() for c in ("doc_id", "d8", "text")), part.column("hits"), strict=True):
+                for doc, d8, text, hit, lo, hi in zip(*(part.column(c).to_pylist() for c in ("doc_id", "d8", "text")), part.column("hits"), begin[:-1], begin[1:], strict=True):
                     flat = hit.values
                     p = flat.field("pos").to_numpy(zero_copy_only=False)
                     p, order = np.unique(p, return_index=True)
                     first = flat.field("first").to_numpy(zero_copy_only=False)[order]
                     out, into = (flat.field(c).to_numpy(zero_copy_only=False).astype(bool)[order] for c in ("out", "into"))
-                    w = hashes(_words(text))
+                    w = hashes[lo:hi]
                     _, place = chosen(w)
                     i = np.searchsorted(p, place)
                     known = (i < len(p)) & (p[np.minimum(i, len(p) - 1)] == place)
