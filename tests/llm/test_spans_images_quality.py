@@ -185,59 +185,86 @@ def test_quality_rules_and_urls_on_awkward_rows(spark):
     assert U.reputation(p.select("page_id", "host").where("false"), o).collect() == []
 
 
-def marked_pictures(n=9):
-    """(id, corners' points, bits) by hand: all pictures hold one mark of 4 corners, each at a place of its own; ids 4 and 5 hold
-    8 more alike, whose parts lie in buckets of unrelated pictures with smaller ids, each in turn."""
-    rng = np.random.default_rng(8)
-    mark, more = rng.integers(0, 256, (4, 32), np.uint8), rng.integers(0, 256, (8, 32), np.uint8)
-    place = rng.uniform(0, 90, (8, 2))
+def labelled(pairs, ids):
+    up = {i: i for i in ids}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((root(a), root(b)))
+        up[y] = x
+    return {i: root(i) for i in ids}
+
+
+def all_pairs(made):
+    """Links of an all-pairs matcher over (id, points, bits)."""
+    from plumbline.llm import image_copies as I
+
+    return {(x[0], y[0]) for k, x in enumerate(made) for y in made[k + 1 :] if I.agreeing(x[1], x[2], y[1], y[2]) >= I.INLIERS}
+
+
+def test_image_copies_equal_all_pairs_matcher(spark):
+    """Copies of many pictures, and a group of many copies of one; classes by the operator and by matching all with all."""
+    from plumbline.llm import image_copies as I
+
+    rng = np.random.default_rng(14)
+    pictures = [I.render(rng.normal(size=64)) for _ in range(150)]
+    pictures += [I.edited(x, i) for i, x in enumerate(pictures[:40])] + [I.edited(pictures[7], 1000 + i) for i in range(60)]
+    order = rng.permutation(len(pictures))
+    media = [(int(order[i]), bytearray(I.pgm(x))) for i, x in enumerate(pictures)]
+    made = sorted((i, *(x.astype(np.float32) if k == 0 else x for k, x in enumerate(I.corners(I.gray(bytes(m)))))) for i, m in media)
+    want = labelled(all_pairs(made), [i for i, _ in media])
+    got = {r[0]: r[2] for r in I.image_classes(spark.createDataFrame(media, "media_id long, media binary")).collect()}
+    planted = [(int(order[i]), int(order[150 + i])) for i in range(40)] + [(int(order[7]), int(order[190 + i])) for i in range(60)]
+    assert np.mean([want[a] == want[b] for a, b in planted]) > 0.97
+    assert got == want
+
+
+def strings(n, seed=8):
+    """(id, points, bits) by hand: all pictures hold one mark of 4 strings, each at a place of its own; ids 4 and 5 are copies."""
+    rng = np.random.default_rng(seed)
+    mark, more, place = rng.integers(0, 256, (4, 32), np.uint8), rng.integers(0, 256, (8, 32), np.uint8), rng.uniform(0, 90, (8, 2))
     out = []
     for i in range(n):
-        own = rng.integers(0, 256, (20, 32), np.uint8)
+        bits = np.concatenate([mark, rng.integers(0, 256, (20, 32), np.uint8), more if i in (4, 5) else rng.integers(0, 256, (8, 32), np.uint8)])
         xy = rng.uniform(0, 90, (32, 2))
-        bits = np.concatenate([mark, own, more if i in (4, 5) else rng.integers(0, 256, (8, 32), np.uint8)])
         if i in (4, 5):
             xy[24:] = place + i
         out.append((i, np.c_[xy, np.ones(32), np.zeros(32)].astype(np.float32), bits))
-    for t, (_, _, bits) in enumerate(out[:2]):  # hubs by id
-        for c in range(8):
-            bits[24 + c] = rng.integers(0, 256, 32)
-            bits[24 + c, 4 * ((c + t) % 8) : 4 * ((c + t) % 8) + 4] = more[c, 4 * ((c + t) % 8) : 4 * ((c + t) % 8) + 4]
     return out
 
 
-@pytest.mark.parametrize("n, small, block", [(9, 99, 256), (9, 2, 4), (40, 8, 16)])
-def test_image_copies_across_components(spark, monkeypatch, n, small, block):
+@pytest.mark.parametrize("n, block", [(12, 256), (40, 8)])
+def test_image_copies_with_a_mark_in_all_pictures(spark, monkeypatch, n, block):
+    """A mark whose strings are equal in all pictures: no bit splits its buckets; copies in them are found by blocks."""
     from plumbline.llm import image_copies as I
 
-    made = marked_pictures(n)
-    want = {(x[0], y[0]) for k, x in enumerate(made) for y in made[k + 1 :] if len(np.intersect1d(I.parts_of(x[2]), I.parts_of(y[2]))) >= I.VOTES and I.agreeing(x[1], x[2], y[1], y[2]) >= I.INLIERS}
-    assert want == {(4, 5)}
-    monkeypatch.setattr(I, "SMALL", small)
+    made = strings(n)
+    made = [(i, p, np.concatenate([b[:24], made[4][2][24:]])) for i, p, b in made]  # all strings of the copies are in all the others too
     monkeypatch.setattr(I, "BLOCK", block)
+    assert all_pairs(made) == {(4, 5)}
     k = spark.createDataFrame([(i, bytearray(p.tobytes()), bytearray(b.tobytes())) for i, p, b in made], "media_id long, points binary, bits binary")
-    parts = spark.createDataFrame([(i, key) for i, _, b in made for key in I.parts_of(b).tolist()], "id long, key long")
-    shared = parts.groupBy("key").count().where("count > 1").select("key")
-    none = spark.createDataFrame([], "a long, b long")
-    got = {tuple(r) for r in I._residual(parts, shared, none.toDF("id", "label"), none, k).collect()}
-    assert got == want
+    keys = spark.createDataFrame([(*map(int, x), i) for i, _, b in made for x in zip(*I.table_keys(b), strict=True)], "t int, k1 long, k2 long, id long")
+    hot = I._meetings(keys).where("hot IS NOT NULL").selectExpr("hot AS key", "a AS id")
+    assert hot.count() == n * 12 * I.TABLES
+    none = spark.createDataFrame([], "id long, label long")
+    assert {tuple(r) for r in I._residual(hot, none, k).collect()} == {(4, 5)}
 
 
-def test_image_copies_find_pairs_that_are_no_hubs(spark, monkeypatch):
-    from pyspark.sql import functions as F
-
+def test_buckets_do_not_depend_on_chunks(spark, monkeypatch):
     from plumbline.llm import image_copies as I
 
-    made = marked_pictures()
-    rest = made[4][2], made[5][2]
-    for i in range(9):  # every part that 4 and 5 share is in all the others too, where no geometry fits
-        if i not in (4, 5):
-            made[i] = (i, made[i][1], np.concatenate([made[i][2][:24], rest[0][24:]]))
-    rows = [(i, len(b), bytearray(p.tobytes()), bytearray(b.tobytes()), I.parts_of(b).tolist()) for i, p, b in made]
-    d = spark.createDataFrame(rows, "media_id long, n_corners long, points binary, bits binary, parts array<long>")
-    monkeypatch.setattr(I, "describe", lambda media: d)
-    media = spark.createDataFrame([(i, bytearray(b"picture %d" % i)) for i in range(9)], "media_id long, media binary")
-    got = {r[0]: r[2] for r in I.image_classes(media).collect()}
-    hubs = spark.range(9).agg(F.min_by("id", F.xxhash64("id"))).first()[0]
-    assert hubs not in (4, 5)
-    assert got == {i: 4 if i == 5 else i for i in range(9)}
+    rng = np.random.default_rng(3)
+    rows = [(int(t), int(a), int(b), int(i)) for t, a, b, i in zip(rng.integers(0, 2, 6000), rng.integers(0, 3, 6000) << 40 | rng.integers(0, 40, 6000) << 14, rng.integers(0, 9, 6000) << 50, rng.integers(0, 500, 6000))]
+    keys = spark.createDataFrame(rows, "t int, k1 long, k2 long, id long")
+    of = lambda: sorted((tuple(r) for r in I._meetings(keys).where("hot IS NULL").groupBy("a", "b").count().collect()))
+    hot = lambda: sorted(tuple(r) for r in I._meetings(keys).where("hot IS NOT NULL").select("hot", "a").distinct().collect())
+    whole = hot()
+    t, k1, k2, ids = (np.array(x) for x in zip(*sorted(set(rows))))
+    pairs, at, _ = I.bucket_pairs(t, k1, k2, ids)
+    assert len(at) == len(whole) and len(pairs) == sum(r[2] for r in of())
+    monkeypatch.setattr(I, "CHUNK", 900)
+    assert hot() == whole
