@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import base64
 import struct
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -79,15 +79,26 @@ class ByteBPE:
     """Encoder and decoder of one rank file."""
 
     def __init__(self, path: str, pattern: str):
+        self.tokens, self.pattern = read_ranks(path), pattern
+        self.map = {b: c for b, c in enumerate(byte_alphabet())}
+        self.known: dict[str, list[int]] = {}
+
+    # what only encoding needs is made when first used
+    @cached_property
+    def rank(self) -> dict[bytes, int]:
+        return {t: i for i, t in enumerate(self.tokens)}
+
+    @cached_property
+    def split(self):
         import regex
+
+        return regex.compile(self.pattern).findall
+
+    @cached_property
+    def pieces(self):
         import sentencepiece
 
-        self.tokens = read_ranks(path)
-        self.rank = {t: i for i, t in enumerate(self.tokens)}
-        self.map = {b: c for b, c in enumerate(byte_alphabet())}
-        self.split = regex.compile(pattern).findall
-        self.pieces = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(self.tokens))
-        self.known: dict[str, list[int]] = {}
+        return sentencepiece.SentencePieceProcessor(model_proto=serialise_model(self.tokens))
 
     def _of(self, match: str) -> list[int]:
         raw = match.encode("utf-8")
@@ -161,6 +172,21 @@ def decode(encoded: DataFrame, ids: str = "ids", vocabulary: str = VOCABULARY) -
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
+def round_trip(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), vocabulary: str = VOCABULARY) -> DataFrame:
+    """``keep`` columns, ``ids`` of every whole text and ``decoded``, the bytes that those ids stand for: ``decode`` of
+    ``encode`` in one pass, so that a task needs one Python worker and ids cross to Python and back once."""
+
+    def run(batches):
+        bpe = tokenizer(*public_vocabulary(vocabulary))
+        for b in slices(batches, "_text", 1 << 20):
+            ids = [bpe.encode(t) if t else [] for t in b.column("_text").to_pylist()]
+            decoded = [bpe.decode(i) for i in ids]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.binary())], names=[*keep, "ids", "decoded"])
+
+    d = docs.select(*keep, F.col(text).alias("_text"))
+    return d.mapInArrow(run, T.StructType([*(d.schema[c] for c in keep), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]))
+
+
 def digests(encoded: DataFrame) -> DataFrame:
     """doc_id, ids and decoded -> the counts and digests of the contract."""
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -168,4 +194,4 @@ def digests(encoded: DataFrame) -> DataFrame:
 
 
 def op1_byte_bpe(spark, sf_dir: str) -> DataFrame:
-    return digests(decode(encode(read(spark, sf_dir, "documents"))))
+    return digests(round_trip(read(spark, sf_dir, "documents")))
