@@ -39,7 +39,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of the token ids of every copy, and of the bytes that they decode to."""
-    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(docs)))
+    return byte_bpe.digests(byte_bpe.round_trip(docs))
 
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("near-duplicate removal", near_duplicates), ("source mixture", mixture), ("byte-level BPE", tokens)]
