@@ -3,9 +3,12 @@
 Each text gives integer counts and four integer rates.  A mergeable quantile sketch (a
 histogram over log-linear integer bins: exact below 128, 1/64 relative error above) is kept
 per language, source and rate; sketches of a language, and of the corpus, are sums of those
-below them.  A rate is an outlier when it lies more than ``reach`` interquartile ranges
-outside the quartiles of its own group.  Groups with fewer than ``least`` texts use their
-language's sketch, then the corpus's.
+below them.  A rate has a level p (a percentile): with Q(p) from the sketch of a text's own group,
+it is an outlier above Q(p) + ``reach`` * (Q(p) - Q(50)), and for rates of which low values count
+too, below Q(100 - p) - ``reach`` * (Q(50) - Q(100 - p)).  Differences count as 1, the sketch's
+unit, at least; nothing else is fixed.  So a source in which symbols or repeated lines are usual
+has a wide fence and one in which they never occur a narrow one.  Groups with fewer than ``least``
+texts use their language's sketch, then the corpus's.
 
 Nulls: a null text counts as empty; null languages and sources form groups of their own.
 Empty texts fail the base rule (fewer than 20 words).  Repeated rows are judged one by one
@@ -22,8 +25,10 @@ from .common import WORD, cut, read
 
 WINDOW = 8
 SYMBOLS = r"[#*$%&|<>]"
-#: rate name -> (least interquartile range, whether low values count as outliers too)
-RATES = {"symbol_rate": (20, False), "dup_line_rate": (120, False), "repeat_rate": (95, False), "word_len": (6, True)}
+#: rate name -> (level, whether low values count as outliers too).  Symbols and letters a word are a matter of a source's
+#: style, so its upper tenth is measured; repetition occurs in a few texts of any source, so its upper hundredth is.
+RATES = {"symbol_rate": (90, False), "dup_line_rate": (99, False), "repeat_rate": (99, False), "word_len": (90, True)}
+LEAST, REACH = 200, 3
 
 
 def document_counts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
@@ -78,32 +83,33 @@ def sketch(counts: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return counts.select(*by, F.expr(f"stack({len(RATES)}, {pairs}) AS (rate, v)")).groupBy(*by, "rate", bin_.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def _quartiles(sk: DataFrame, by: tuple[str, ...], suffix: str) -> DataFrame:
-    """Quartiles of each group and rate from its bins (a few hundred bins a group)."""
+def _quantiles(sk: DataFrame, by: tuple[str, ...], suffix: str) -> DataFrame:
+    """n, and the quantiles lo (at 100 less the rate's level), mid and hi of each group and rate, from its bins (a few
+    hundred a group)."""
     w = Window.partitionBy(*by, "rate")
     c = sk.withColumn("cum", F.sum("n").over(w.orderBy("bin"))).withColumn("total", F.sum("n").over(w))
-    at = lambda q: F.min(F.when(4 * F.col("cum") >= q * F.col("total"), F.col("bin")))
-    return c.groupBy(*by, "rate").agg(F.max("total").alias(f"n{suffix}"), at(1).alias(f"q1{suffix}"), at(3).alias(f"q3{suffix}"))
+    level = F.create_map(*[F.lit(x) for r, (p, _) in RATES.items() for x in (r, p)])[F.col("rate")]
+    at = lambda q: F.min(F.when(100 * F.col("cum") >= q * F.col("total"), F.col("bin")))
+    return c.groupBy(*by, "rate").agg(F.max("total").alias(f"n{suffix}"), at(100 - level).alias(f"lo{suffix}"), at(F.lit(50)).alias(f"mid{suffix}"), at(level).alias(f"hi{suffix}"))
 
 
-def thresholds(counts: DataFrame, least: int = 200, reach: int = 3) -> DataFrame:
+def thresholds(counts: DataFrame, least: int = LEAST, reach: int = REACH) -> DataFrame:
     """lang, source and, for each rate, <rate>_lo and <rate>_hi; sketches hold texts that pass the base rule."""
     fine = sketch(counts.where(~F.col("base_failed")), ("lang", "source"))
     lang = fine.groupBy("lang", "rate", "bin").agg(F.sum("n").alias("n"))
     whole = lang.groupBy("rate", "bin").agg(F.sum("n").alias("n"))
-    a = _quartiles(fine, ("lang", "source"), "0")
-    b = _quartiles(lang, ("lang",), "1").select(F.col("lang").alias("_l"), F.col("rate").alias("_r"), "n1", "q11", "q31")
-    c = _quartiles(whole, (), "2").select(F.col("rate").alias("_r2"), "q12", "q32")
+    a = _quantiles(fine, ("lang", "source"), "0")
+    b = _quantiles(lang, ("lang",), "1").withColumnsRenamed({"lang": "_l", "rate": "_r"})
+    c = _quantiles(whole, (), "2").withColumnRenamed("rate", "_r2")
     j = a.join(b, F.col("lang").eqNullSafe(F.col("_l")) & (F.col("rate") == F.col("_r"))).join(c, F.col("rate") == F.col("_r2"))
     pick = lambda q: F.when(F.col("n0") >= least, F.col(f"{q}0")).when(F.col("n1") >= least, F.col(f"{q}1")).otherwise(F.col(f"{q}2"))
-    j = j.select("lang", "source", "rate", pick("q1").alias("q1"), pick("q3").alias("q3"))
+    j = j.select("lang", "source", "rate", *[pick(q).alias(q) for q in ("lo", "mid", "hi")])
     out = []
-    for r, (floor, low) in RATES.items():
+    for r, (_, low) in RATES.items():
         is_r = F.col("rate") == r
-        wide = reach * F.greatest(F.col("q3") - F.col("q1"), F.lit(floor))
-        out.append(F.max(F.when(is_r, F.col("q3") + wide)).alias(f"{r}_hi"))
+        out.append(F.max(F.when(is_r, F.col("hi") + reach * F.greatest(F.col("hi") - F.col("mid"), F.lit(1)))).alias(f"{r}_hi"))
         if low:
-            out.append(F.max(F.when(is_r, F.col("q1") - wide)).alias(f"{r}_lo"))
+            out.append(F.max(F.when(is_r, F.col("lo") - reach * F.greatest(F.col("mid") - F.col("lo"), F.lit(1)))).alias(f"{r}_lo"))
     return j.groupBy("lang", "source").agg(*out)
 
 
@@ -132,8 +138,15 @@ def _bin(v: str) -> str:
 def op8_sql() -> str:
     rates = {"symbol_rate": "1000 * n_symbols // greatest(word_chars, 1)", "dup_line_rate": "1000 * n_dup_lines // greatest(n_lines, 1)", "repeat_rate": "1000 * n_repeat_words // greatest(n_words, 1)", "word_len": "10 * word_chars // greatest(n_words, 1)"}
     union = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS rate, {_bin(r)} AS bin FROM m WHERE NOT base_failed" for r in RATES)
-    q = lambda by, name: f"SELECT {by + ',' if by else ''} rate, max(total) AS n, min(bin) FILTER (4 * cum >= total) AS q1, min(bin) FILTER (4 * cum >= 3 * total) AS q3 FROM (SELECT *, sum(n) OVER (PARTITION BY {by + ',' if by else ''} rate ORDER BY bin) AS cum, sum(n) OVER (PARTITION BY {by + ',' if by else ''} rate) AS total FROM {name}) GROUP BY {by + ',' if by else ''} rate"
-    lim = ", ".join(f"max(CASE WHEN rate = '{r}' THEN q3 + 3 * greatest(q3 - q1, {f}) END) AS {r}_hi, max(CASE WHEN rate = '{r}' THEN q1 - 3 * greatest(q3 - q1, {f}) END) AS {r}_lo" for r, (f, _) in RATES.items())
+    level = "CASE rate " + " ".join(f"WHEN '{r}' THEN {p}" for r, (p, _) in RATES.items()) + " END"
+
+    def q(by, name):
+        by = f"{by}, " if by else ""
+        at = lambda p: f"min(bin) FILTER (100 * cum >= ({p}) * total)"
+        return f"SELECT {by}rate, max(total) AS n, {at(f'100 - {level}')} AS lo, {at('50')} AS mid, {at(level)} AS hi FROM (SELECT *, sum(n) OVER (PARTITION BY {by}rate ORDER BY bin) AS cum, sum(n) OVER (PARTITION BY {by}rate) AS total FROM {name}) GROUP BY {by}rate"
+
+    lim = ", ".join(f"max(CASE WHEN rate = '{r}' THEN hi + {REACH} * greatest(hi - mid, 1) END) AS {r}_hi, max(CASE WHEN rate = '{r}' THEN lo - {REACH} * greatest(mid - lo, 1) END) AS {r}_lo" for r in RATES)
+    pick = ", ".join(f"CASE WHEN q0.n >= {LEAST} THEN q0.{x} WHEN q1.n >= {LEAST} THEN q1.{x} ELSE q2.{x} END AS {x}" for x in ("lo", "mid", "hi"))
     bad = " OR ".join([f"coalesce({r} > {r}_hi, false)" for r in RATES] + [f"coalesce({r} < {r}_lo, false)" for r, (_, low) in RATES.items() if low])
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
@@ -147,7 +160,7 @@ m AS (SELECT *, {", ".join(f"{e} AS {r}" for r, e in rates.items())}, (n_words <
 s0 AS (SELECT lang, source, rate, bin, count(*) AS n FROM ({union}) GROUP BY ALL),
 s1 AS (SELECT lang, rate, bin, sum(n) AS n FROM s0 GROUP BY ALL), s2 AS (SELECT rate, bin, sum(n) AS n FROM s1 GROUP BY ALL),
 q0 AS ({q("lang, source", "s0")}), q1 AS ({q("lang", "s1")}), q2 AS ({q("", "s2")}),
-p AS (SELECT q0.lang, q0.source, q0.rate, CASE WHEN q0.n >= 200 THEN q0.q1 WHEN q1.n >= 200 THEN q1.q1 ELSE q2.q1 END AS q1, CASE WHEN q0.n >= 200 THEN q0.q3 WHEN q1.n >= 200 THEN q1.q3 ELSE q2.q3 END AS q3
+p AS (SELECT q0.lang, q0.source, q0.rate, {pick}
  FROM q0 JOIN q1 ON q0.lang IS NOT DISTINCT FROM q1.lang AND q0.rate = q1.rate JOIN q2 ON q0.rate = q2.rate),
 lim AS (SELECT lang, source, {lim} FROM p GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR {bad}) AS kept

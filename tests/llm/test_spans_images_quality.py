@@ -185,6 +185,51 @@ def test_quality_rules_and_urls_on_awkward_rows(spark):
     assert U.reputation(p.select("page_id", "host").where("false"), o).collect() == []
 
 
+def plain_fences(rows, least):
+    """(lang, source) -> rate -> (lo, hi) from sorted values, for values below 128 (exact in the sketch)."""
+    from plumbline.llm import quality_rules as Q
+
+    def of(some):
+        out = {}
+        for r, (p, low) in Q.RATES.items():
+            v = sorted(x[r] for x in some)
+            at = lambda q: v[max(0, -(-q * len(v) // 100) - 1)]  # noqa: B023, E731
+            lo, mid, hi = at(100 - p), at(50), at(p)
+            out[r] = (lo - 3 * max(1, mid - lo) if low else None, hi + 3 * max(1, hi - mid))
+        return out
+
+    good = [r for r in rows if not r["base_failed"]]
+    for g in {(r["lang"], r["source"]) for r in rows}:
+        own, lang = [r for r in good if (r["lang"], r["source"]) == g], [r for r in good if r["lang"] == g[0]]
+        if own:
+            yield g, of(own if len(own) >= least else lang if len(lang) >= least else good)
+
+
+def test_quality_fences_follow_their_group(spark):
+    """Two sources of different spread get different fences, and the same text is kept in one and rejected in the other;
+    repeated rows, ties, null groups."""
+    from plumbline.llm import quality_rules as Q
+
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    text = lambda marks, n=60: " ".join(word(r.randint(4, 6)) + "#" * (i < marks) for i in range(n))
+    data = [(i, text(0), "en", "plain") for i in range(60)] + [(100 + i, text(i % 30), "en", "code") for i in range(60)]
+    data += [(200 + i, text(i % 2), None, None) for i in range(12)] + [(300, (t := text(12)), "en", "plain"), (301, t, "en", "code"), (301, t, "en", "code")]
+    data += [(302, " ".join(word(16) for _ in range(40)), "en", "plain"), (303, "few words", "en", "plain")]
+    c = Q.document_counts(spark.createDataFrame(data, "doc_id long, text string, lang string, source string"))
+    rows = [x.asDict() for x in c.collect()]
+    want = dict(plain_fences(rows, 50))
+    limits = {(x["lang"], x["source"]): x for x in Q.thresholds(c, least=50).collect()}
+    assert set(limits) == set(want)
+    for g, x in limits.items():
+        for rate, (lo, hi) in want[g].items():
+            assert x[f"{rate}_hi"] == hi and (lo is None or x[f"{rate}_lo"] == lo), (g, rate)
+    assert limits["en", "plain"]["symbol_rate_hi"] < limits["en", "code"]["symbol_rate_hi"]
+    kept = {x["doc_id"]: x["kept"] for x in Q.judge(c, Q.thresholds(c, least=50)).collect()}
+    assert (kept[300], kept[301], kept[302], kept[303]) == (False, True, False, False)
+    assert all(kept[i] for i in range(60)) and all(kept[i] for i in range(100, 160))
+
+
 def labelled(pairs, ids):
     up = {i: i for i in ids}
 
