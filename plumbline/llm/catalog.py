@@ -3,7 +3,7 @@
 from .boosted_quality import op3_quality_classifier
 from .byte_bpe import op1_byte_bpe
 from .image_copies import op9_image_copies
-from .license_scan import op6_license_scan
+from .license_scan import op6_license_scan, op6_sql
 from .line_dedup import op7_line_dedup, op7_sql
 from .mixing import op10_mix_sources, op10_sql
 from .near_dedup import op4_near_dedup
@@ -23,4 +23,4 @@ QUERIES = {
     "op9_image_copies": op9_image_copies,
     "op10_mix_sources": op10_mix_sources,
 }
-SQL = {"op2_url_filter": op2_sql(), "op5_substring_dedup": op5_sql(), "op7_line_dedup": op7_sql(), "op8_quality_rules": op8_sql(), "op10_mix_sources": op10_sql()}
+SQL = {"op2_url_filter": op2_sql(), "op5_substring_dedup": op5_sql(), "op6_license_scan": op6_sql(), "op7_line_dedup": op7_sql(), "op8_quality_rules": op8_sql(), "op10_mix_sources": op10_sql()}

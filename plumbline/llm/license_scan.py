@@ -1,11 +1,14 @@
 """License scan by ordered signature rules (DataFrame functions only).
 
-A text is lower-cased (A-Z) and reduced to its words, one blank around each.  A rule has a
-label, a keyword, a regular expression over that form and a priority (its place in the list,
-the first wins).  A regular expression runs only on texts that hold a word that starts with the
-rule's keyword, as all its matches do.  All places of all rules are sorted by start, longest first, then priority; a place
-that lies inside an earlier one is suppressed.  The labels of the places left, and of the base
-phrases, are the result.
+A text is lower-cased (A-Z) and reduced to its words.  A rule has a label, keywords, a regular
+expression over words with one blank between them, and a priority (its place in the list, the
+first wins).  Every match of a rule holds one of its keywords as a word, so a rule runs only on
+texts that do: one intersection of the text's words with all keywords.  All places of all rules
+are sorted by first word, longest first, then priority; a place that lies inside an earlier one is
+suppressed.  The labels of the places left, and of the base phrases, are the result.
+
+In the form that rules run on, words have two blanks between them, so that a match takes its own
+blanks on either side and no look-around is needed: the same expressions run in any engine.
 
 Null and empty texts have no words: zero counts, null places, empty label strings, score 0.
 Every row is judged by itself, so repeated rows give repeated results and nothing is shuffled;
@@ -22,21 +25,20 @@ from .common import lower_ascii, read
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: License family -> (keywords, regex of its name over the word form).  In every match of the regex a word starts with
-#: one of the keywords.
+#: License family -> (keywords, regex of its name).
 FAMILIES: dict[str, tuple[str, str]] = {
     "mit-0": ("mit", "mit (?:0|no attribution)"),
     "mit": ("mit expat", "(?:mit|expat|mit expat)"),
     "apache-2": ("apache", "apache(?: software)?(?: license)?(?: version)? v?2(?: 0)?"),
     "apache-1.1": ("apache", "apache(?: software)?(?: license)?(?: version)? v?1 1"),
     "apache-1.0": ("apache", "apache(?: software)?(?: license)?(?: version)? v?1 0"),
-    "agpl-3": ("agpl", "(?:gnu )?agpl(?: version)? ?v?3(?: 0)?"),
-    "lgpl-3": ("lgpl", "(?:gnu )?lgpl(?: version)? ?v?3(?: 0)?"),
-    "lgpl-2.1": ("lgpl", "(?:gnu )?lgpl(?: version)? ?v?2 1"),
-    "lgpl-2": ("lgpl", "(?:gnu )?lgpl(?: version)? ?v?2(?: 0)?"),
-    "gpl-3": ("gpl", "(?:gnu )?gpl(?: version)? ?v?3(?: 0)?"),
-    "gpl-2": ("gpl", "(?:gnu )?gpl(?: version)? ?v?2(?: 0)?"),
-    "gpl-1": ("gpl", "(?:gnu )?gpl(?: version)? ?v?1(?: 0)?"),
+    "agpl-3": ("agpl agpl3 agplv3", "(?:gnu )?agpl(?: version)? ?v?3(?: 0)?"),
+    "lgpl-3": ("lgpl lgpl3 lgplv3", "(?:gnu )?lgpl(?: version)? ?v?3(?: 0)?"),
+    "lgpl-2.1": ("lgpl lgpl2 lgplv2", "(?:gnu )?lgpl(?: version)? ?v?2 1"),
+    "lgpl-2": ("lgpl lgpl2 lgplv2", "(?:gnu )?lgpl(?: version)? ?v?2(?: 0)?"),
+    "gpl-3": ("gpl gpl3 gplv3", "(?:gnu )?gpl(?: version)? ?v?3(?: 0)?"),
+    "gpl-2": ("gpl gpl2 gplv2", "(?:gnu )?gpl(?: version)? ?v?2(?: 0)?"),
+    "gpl-1": ("gpl gpl1 gplv1", "(?:gnu )?gpl(?: version)? ?v?1(?: 0)?"),
     "agpl-3-long": ("affero", "gnu affero general public license(?: version)? v?3(?: 0)?"),
     "lgpl-3-long": ("lesser", "gnu lesser general public license(?: version)? v?3(?: 0)?"),
     "lgpl-2.1-long": ("lesser", "gnu lesser general public license(?: version)? v?2 1"),
@@ -49,15 +51,15 @@ FAMILIES: dict[str, tuple[str, str]] = {
     "bsd-3": ("bsd", "(?:bsd 3 clause|3 clause bsd|new bsd|revised bsd|modified bsd)"),
     "bsd-4": ("bsd", "(?:bsd 4 clause|4 clause bsd|original bsd)"),
     "isc": ("isc", "isc"),
-    "mpl-2": ("mpl", "mpl(?: version)? ?v?2(?: 0)?"),
-    "mpl-1.1": ("mpl", "mpl(?: version)? ?v?1 1"),
+    "mpl-2": ("mpl mpl2 mplv2", "mpl(?: version)? ?v?2(?: 0)?"),
+    "mpl-1.1": ("mpl mpl1 mplv1", "mpl(?: version)? ?v?1 1"),
     "mpl-2-long": ("mozilla", "mozilla public license(?: version)? v?2(?: 0)?"),
     "mpl-1.1-long": ("mozilla", "mozilla public license(?: version)? v?1 1"),
     "epl-2": ("eclipse", "eclipse public license(?: version)? v?2(?: 0)?"),
     "epl-1": ("eclipse", "eclipse public license(?: version)? v?1(?: 0)?"),
     "edl-1": ("eclipse", "eclipse distribution license(?: version)? v?1(?: 0)?"),
-    "cddl-1.1": ("cddl", "cddl(?: version)? ?v?1 1"),
-    "cddl-1": ("cddl", "cddl(?: version)? ?v?1(?: 0)?"),
+    "cddl-1.1": ("cddl cddl1 cddlv1", "cddl(?: version)? ?v?1 1"),
+    "cddl-1": ("cddl cddl1 cddlv1", "cddl(?: version)? ?v?1(?: 0)?"),
     "cpl-1": ("common", "common public license(?: version)? v?1(?: 0)?"),
     "cpal-1": ("attribution", "common public attribution license(?: version)? v?1(?: 0)?"),
     "artistic-2": ("artistic", "artistic(?: license)?(?: version)? v?2(?: 0)?"),
@@ -103,8 +105,8 @@ FAMILIES: dict[str, tuple[str, str]] = {
     "sspl-1": ("server", "server side public license(?: version)?(?: 1)?"),
     "elastic-2": ("elastic", "elastic license(?: version)?(?: 2(?: 0)?)?"),
     "polyform-nc": ("polyform", "polyform non ?commercial(?: license)?"),
-    "openrail": ("openrail", "(?:bigscience |creativeml )?openrail m?"),
-    "beerware": ("beer", "beer ?ware"),
+    "openrail": ("openrail openrailm", "(?:bigscience |creativeml )?openrail(?: ?m)?"),
+    "beerware": ("beer beerware", "beer ?ware"),
 }
 #: Ways to grant a named license, most telling first: kind -> regex with the name at {}.
 GRANTS = {
@@ -113,92 +115,164 @@ GRANTS = {
     "under": "under the {} licen[cs]e",
     "name": "(?:the )?{} licen[cs]e",
 }
-#: Whole sentences that stand for a license: label, keyword, regex.
+#: Sentences that stand for a license: label, keyword, regex.
 SENTENCES = [
-    ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd-3", "neither", "neither the name of .{1,120}? nor the names of its contributors"),
+    ("mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", "copyright", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "merchantability", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
+    ("isc", "hereby", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "disclaims", "the software is provided as is and the author disclaims all warranties"),
+    ("bsd-3", "neither", "neither the name of(?: [^ ]+){1,20}? nor the names of its contributors"),
     ("bsd-2", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("zlib", "express", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("bsd-2", "redistributions", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-2", "redistributions", "redistributions in binary form must reproduce the above copyright notice this list of conditions"),
+    ("bsd-2", "contributors", "this software is provided by the (?:copyright holders|regents|author) and contributors as is"),
+    ("bsd-4", "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("zlib", "implied", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented"),
+    ("zlib", "misrepresented", "altered source versions must be plainly marked as such and must not be misrepresented"),
     ("apache-2", "apache", "apache license version 2(?: 0)?"),
+    ("apache-2", "apache", "you may not use this file except in compliance with the license(?: [^ ]+){1,12}? apache"),
+    ("apache-2", "conditions", "without warranties or conditions of any kind either express or implied"),
+    ("apache-1.1", "apache", "this product includes software developed by the apache software foundation"),
     ("cc0-1", "dedicated", "dedicated to the public domain"),
+    ("cc0-1", "waived", "has waived all copyright and related or neighbou?ring rights"),
     ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "jurisdictions", "in jurisdictions that recognize copyright laws the author or authors of this software dedicate"),
+    ("gpl-any", "redistribute", "you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl-any", "gnu", "you should have received a copy of the gnu general public license"),
     ("gpl-any", "gnu", "gnu general public license"),
+    ("gpl-2", "gnu", "gnu general public license(?: [^ ]+){0,8}? either version 2 of the license or"),
+    ("gpl-3", "gnu", "gnu general public license(?: [^ ]+){0,8}? either version 3 of the license or"),
+    ("lgpl-any", "lesser", "you should have received a copy of the gnu lesser general public license"),
+    ("lgpl-any", "lesser", "gnu lesser general public license"),
+    ("agpl-any", "affero", "you should have received a copy of the gnu affero general public license"),
+    ("agpl-any", "affero", "gnu affero general public license"),
+    ("mpl-2", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-1.1", "mozilla", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("epl-1", "eclipse", "made available under the terms of the eclipse public license v1 0"),
+    ("epl-2", "eclipse", "made available under the terms of the eclipse public license(?: v)? 2 0"),
+    ("boost-1", "boost", "distributed under the boost software license version 1 0"),
+    ("boost-1", "derivative", "to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so"),
+    ("artistic-2", "artistic", "the artistic license 2 0 applies to all software"),
     ("wtfpl", "public", "do what the fuck you want to public license"),
+    ("beerware", "beer", "you can buy me a beer in return"),
+    ("ofl-1.1", "reserved", "with reserved font name"),
+    ("ofl-1.1", "font", "the fonts? (?:software|are|is) (?:are |is )?licensed under the sil open font license"),
+    ("openssl", "openssl", "this product includes software developed by the openssl project"),
+    ("php-3", "php", "this product includes php software freely available from"),
+    ("psf-2", "python", "psf is making python available to licensee on an as is basis"),
+    ("ncsa", "illinois", "developed by(?: [^ ]+){1,20}? university of illinois"),
+    ("cc-by", "attribution", "this work is licensed under a creative commons attribution(?: [1234] 0)? (?:international|unported) license"),
+    ("cc-by-sa", "sharealike", "this work is licensed under a creative commons attribution sharealike(?: [1234] 0)? (?:international|unported) license"),
+    ("cc-by-nc", "noncommercial", "this work is licensed under a creative commons attribution noncommercial(?: [1234] 0)? (?:international|unported) license"),
+    ("cc-by-nd", "noderivatives", "this work is licensed under a creative commons attribution noderivatives(?: [1234] 0)? (?:international|unported) license"),
+    ("gfdl", "invariant", "with no invariant sections no front cover texts and no back cover texts"),
+    ("public-domain", "domain", "(?:is|are) (?:hereby )?(?:in|placed in|released into) the public domain"),
     ("proprietary", "reserved", "all rights reserved"),
     ("proprietary", "proprietary", "proprietary and confidential"),
-    ("beerware", "beer", "you can buy me a beer in return"),
+    ("proprietary", "permission", "may not be (?:reproduced|copied|distributed)(?: or (?:reproduced|copied|distributed))? without (?:the )?(?:prior |express |written )*permission"),
+    ("proprietary", "unauthorized", "unauthorized (?:copying|use|reproduction|distribution)(?: or [^ ]+)? (?:of this (?:file|software|material) )?(?:via any medium )?is strictly prohibited"),
+    ("non-commercial", "commercial noncommercial", "for non ?commercial (?:use|purposes) only"),
+    ("non-commercial", "personal", "for personal use only"),
+    ("research-only", "research", "for research (?:use|purposes) only"),
 ]
 
 
 def rules() -> list[tuple[str, str, str]]:
-    """(label, keyword, regex) in order of priority: sentences, then each grant over all families.
-
-    A family of several keywords gives a rule for each; where both run, the second's places lie inside the first's."""
-    named = [(k.removesuffix("-long"), kw, g.format(f"(?:{name})")) for g in GRANTS.values() for k, (kws, name) in FAMILIES.items() for kw in kws.split()]
-    bare = [(k.removesuffix("-long"), kw, name) for k, (kws, name) in FAMILIES.items() for kw in kws.split() if kw == "cc" or " license" in name]
+    """(label, keywords, regex) in order of priority: sentences, then each grant over all families, then bare names."""
+    named = [(k.removesuffix("-long"), kws, g.format(f"(?:{name})")) for g in GRANTS.values() for k, (kws, name) in FAMILIES.items()]
+    bare = [(k.removesuffix("-long"), kws, name) for k, (kws, name) in FAMILIES.items() if kws == "cc" or " license" in name]
     return [*SENTENCES, *named, *bare]
 
 
-#: A word that starts with some rule's keyword: every match of every rule holds one, so nothing else is needed to look further.
-GATE = "(?:" + "|".join(sorted({kw for _, kw, _ in rules()})) + ")[^ ]*"
+def spaced(regex: str) -> str:
+    """A rule's regex for the form with two blanks between words and one at either end of the match."""
+    return " " + regex.replace(" ?", "~").replace(" ", "  ").replace("~", "(?:  )?") + " "
 
 
 def word_form(text) -> "F.Column":
-    """The words of a text in lower case, with one blank before, between and after them."""
-    return F.concat(F.lit(" "), F.btrim(F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS, " ")), F.lit(" "))
+    """The words of a text in lower case, each with a blank before and after it."""
+    one = F.btrim(F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS, " "))
+    return F.when(one == "", F.lit("")).otherwise(F.concat(F.lit(" "), F.replace(one, F.lit(" "), F.lit("  ")), F.lit(" ")))
+
+
+def _n_words(piece):
+    """Words of a piece of the form: two blanks lie between any two."""
+    return F.when(piece == "", F.lit(0)).otherwise(F.length(piece) - F.length(F.replace(piece, F.lit("  "), F.lit(" "))) + 1)
 
 
 def _places(form, regex):
-    """Start and end (in characters) of all places of a regex, from the pieces between them."""
-    found = F.regexp_extract_all(form, regex, F.lit(0))
-    pieces = F.split(form, regex)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("all"))
+    """First word, and first word after, of all places of a regex, from the words of matches and of the pieces between."""
+    found = F.transform(F.regexp_extract_all(form, regex, F.lit(0)), _n_words)
+    pieces = F.transform(F.split(form, regex), _n_words)
+    both = F.zip_with(pieces, found, lambda b, n: F.struct(b.alias("b"), n.alias("n")))
+    # running sums by slices: a text has few places of a rule
+    return F.transform(F.sequence(F.lit(1), F.size(found)), lambda i: F.aggregate(F.slice(both, F.lit(1), i), F.struct(F.lit(0).alias("s"), F.lit(0).alias("e")), lambda a, x: F.struct((a["e"] + x["b"]).alias("s"), (a["e"] + x["b"] + x["n"]).alias("e"))))
 
-    def step(a, i):
-        s = a["at"] + F.length(F.get(pieces, i))
-        e = s + F.length(F.get(found, i))
-        return F.struct(e.alias("at"), F.array_append(a["all"], F.struct(s.alias("s"), e.alias("e"))).alias("all"))
 
-    return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step)["all"]).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
+_PLACES = "array<struct<s:int,e:int>>"
 
 
 def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, ``form``, ``n_words`` and ``found``: array of (label, s, e), suppressed places left out."""
+    by_keys: dict[str, list] = {}
+    for i, (label, kws, r) in enumerate(rules()):
+        by_keys.setdefault(kws, []).append(F.struct(F.lit(label).alias("label"), F.lit(spaced(r)).alias("r"), F.lit(i).alias("p")))
+    table = F.array(*[F.struct(F.split(F.lit(kws), " ").alias("k"), F.array(*rs).alias("rules")) for kws, rs in by_keys.items()])
+    words = F.array(*[F.lit(w) for w in sorted({w for kws in by_keys for w in kws.split()})])
     d = docs.select(*keep, word_form(F.col(text)).alias("form"))
-    by_key: dict[str, list] = {}
-    for i, (label, k, r) in enumerate(rules()):
-        by_key.setdefault(k, []).append(F.struct(F.lit(label).alias("label"), F.lit(f"(?<= ){r}(?= )").alias("r"), F.lit(i).alias("p")))
-    table = F.array(*[F.struct(F.lit(f" {k}").alias("k"), F.array(*rs).alias("rules")) for k, rs in by_key.items()])
+    d = d.select(*keep, "form", _n_words(F.col("form")).alias("n_words"), F.array_intersect(words, F.split(F.btrim("form"), "  ")).alias("_keys"))
 
     def of_rule(r):
-        return F.transform(_places(F.col("form"), r["r"]), lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), r["p"].alias("p"), r["label"].alias("label")))
+        return F.when(F.regexp_like(F.col("form"), r["r"]), F.transform(_places(F.col("form"), r["r"]), lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), r["p"].alias("p"), r["label"].alias("label")))).otherwise(F.array().cast("array<struct<s:int,e:int,p:int,label:string>>"))
 
-    run = F.flatten(F.transform(F.filter(table, lambda r: F.contains(F.col("form"), r["k"])), lambda r: r["rules"]))
+    run = F.flatten(F.transform(F.filter(table, lambda r: F.arrays_overlap(r["k"], F.col("_keys"))), lambda r: r["rules"]))
     hits = F.sort_array(F.flatten(F.transform(run, of_rule)))
     kind = "array<struct<label:string,s:int,e:int>>"
-    d = d.select("*", hits.alias("_hits"))
-    zero = F.struct(F.lit(-1).alias("end"), F.array().cast(kind).alias("all"))
-    step = lambda a, x: F.when(-x["e"] <= a["end"], a).otherwise(F.struct((-x["e"]).alias("end"), F.array_append(a["all"], F.struct(x["label"].alias("label"), x["s"].alias("s"), (-x["e"]).alias("e"))).alias("all")))
-    return d.select(*keep, "form", (F.length("form") - F.length(F.replace("form", F.lit(" "), F.lit("")))).alias("_blanks"), F.coalesce(F.aggregate("_hits", zero, step)["all"], F.array().cast(kind)).alias("found"))
+    d = d.select("*", F.when(F.size("_keys") > 0, hits).alias("_hits"))
+    # places in order: one is inside an earlier one when it ends no later than the furthest end so far
+    ends = F.array_compact(F.transform("_hits", lambda x, i: F.when(-x["e"] > F.coalesce(F.array_max(F.transform(F.slice("_hits", F.lit(1), i), lambda y: -y["e"])), F.lit(-1)), F.struct(x["label"].alias("label"), x["s"].alias("s"), (-x["e"]).alias("e")))))
+    return d.select(*keep, "form", "n_words", F.coalesce(ends, F.array().cast(kind)).alias("found"))
 
 
 def op6_license_scan(spark, sf_dir: str) -> DataFrame:
     d = scan(read(spark, sf_dir, "documents"))
-    empty = F.array().cast("array<int>")
-    starts = F.flatten(F.array(*[F.when(F.contains("form", F.lit(f" {p} ")), F.transform(_places(F.col("form"), F.lit(f"(?<= ){p}(?= )")), lambda x: x["s"])).otherwise(empty) for p in BASE]))
-    labels = F.filter(F.array(*[F.when(F.contains("form", F.lit(f" {p} ")), F.lit(v)) for p, v in BASE.items()]), lambda x: x.isNotNull())
-    d = d.select("doc_id", "form", "_blanks", "found", starts.alias("_starts"), labels.alias("_base"))
-    ahead = lambda at: F.substring(F.col("form"), F.lit(1), at)
-    word_at = lambda at: (F.length(ahead(at)) - F.length(F.replace(ahead(at), F.lit(" "), F.lit(""))) - 1).cast("long")
+    empty = F.array().cast(_PLACES)
+    here = {p: F.contains("form", F.lit(spaced(p))) for p in BASE}
+    starts = F.transform(F.flatten(F.array(*[F.when(h, _places(F.col("form"), F.lit(spaced(p)))).otherwise(empty) for p, h in here.items()])), lambda x: x["s"])
+    labels = F.array_compact(F.array(*[F.when(h, F.lit(BASE[p])) for p, h in here.items()]))
+    d = d.select("doc_id", "n_words", "found", starts.alias("_starts"), labels.alias("_base"))
     covered = F.aggregate("found", F.lit(0), lambda a, x: a + x["e"] - x["s"])
     return d.select(
         "doc_id",
-        F.when(F.length("form") <= 2, F.lit(0)).otherwise(F.col("_blanks") - 1).cast("long").alias("n_words"),
+        F.col("n_words").cast("long"),
         F.size("_starts").cast("long").alias("n_base"),
-        F.when(F.size("_starts") > 0, word_at(F.array_min("_starts"))).alias("first_word"),
-        F.when(F.size("_starts") > 0, word_at(F.array_max("_starts"))).alias("last_word"),
+        F.array_min("_starts").cast("long").alias("first_word"),
+        F.array_max("_starts").cast("long").alias("last_word"),
         F.array_join(F.sort_array(F.array_distinct("_base")), ",").alias("base_labels"),
         F.array_join(F.sort_array(F.array_union("_base", F.transform("found", lambda x: x["label"]))), ",").alias("labels"),
-        F.round(F.when((F.size("found") == 0) & (F.size("_starts") == 0), F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.lit(0.5) + covered / 200.0)), 6).alias("score"),
+        F.when((F.size("found") == 0) & (F.size("_starts") == 0), F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.lit(0.5) + covered / F.lit(40.0))).alias("score"),
     )
+
+
+def op6_sql() -> str:
+    """All rules without their keywords: texts that match any rule at all are tried with each."""
+    table = ", ".join(f"({i}, '{label}', '{spaced(r)}')" for i, (label, _, r) in enumerate(rules()))
+    any_ = " (?:" + "|".join(dict.fromkeys(spaced(r)[1:-1] for _, _, r in rules())) + ") "
+    base = ", ".join(f"('{spaced(p)}', '{label}')" for p, label in BASE.items())
+    places = "SELECT rid, {0}, (list_sum([len(regexp_extract_all(x, '[^ ]+')) for x in pc[:i]]) + coalesce(list_sum([len(regexp_extract_all(x, '[^ ]+')) for x in m[:i - 1]]), 0))::BIGINT AS s, len(regexp_extract_all(m[i], '[^ ]+'))::BIGINT AS n FROM (SELECT *, unnest(generate_series(1, len(m))) AS i FROM (SELECT rid, {0}, regexp_extract_all(form, re) AS m, string_split_regex(form, re) AS pc FROM {1}))"
+    return rf"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+f AS MATERIALIZED (SELECT rid, doc_id, len(ws)::BIGINT AS n_words, CASE WHEN len(ws) > 0 THEN ' ' || array_to_string(ws, '  ') || ' ' ELSE '' END AS form FROM w),
+r(p, label, re) AS (VALUES {table}), b(re, label) AS (VALUES {base}),
+tried AS MATERIALIZED (SELECT rid, form FROM f WHERE regexp_matches(form, '{any_}')),
+h AS ({places.format("p, label", "(SELECT * FROM tried, r WHERE regexp_matches(form, re))")}),
+k AS (SELECT rid, label, n FROM (SELECT *, max(s + n) OVER (PARTITION BY rid ORDER BY s, s + n DESC, p, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM h) WHERE before IS NULL OR s + n > before),
+o AS ({places.format("label", "(SELECT * FROM f, b WHERE contains(form, re))")}),
+bl AS (SELECT rid, count(*)::BIGINT AS n_base, min(s) AS first_word, max(s) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM o GROUP BY rid),
+al AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM k UNION SELECT rid, label FROM o) GROUP BY rid),
+cv AS (SELECT rid, sum(n) AS covered FROM k GROUP BY rid)
+SELECT doc_id, n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+ CASE WHEN labels IS NULL THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, 0.5::DOUBLE + coalesce(covered, 0)::DOUBLE / 40.0::DOUBLE) END AS score
+FROM f LEFT JOIN bl USING (rid) LEFT JOIN al USING (rid) LEFT JOIN cv USING (rid)"""
