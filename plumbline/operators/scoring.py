@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,9 +57,9 @@ def gate(reports_: DataFrame, findings: DataFrame, key: str = "file_id") -> Data
 
 
 def payloads(findings: DataFrame) -> DataFrame:
-    """Findings with a payload fit to correlate, normalised."""
+    """Findings with a payload fit to correlate but for its entropy, normalised."""
     p = findings.where(F.col("mechanism").isin(*CORRELATED) & F.col("payload").isNotNull()).withColumn("payload", X.normal_payload(F.col("payload")))
-    return p.where((F.length("payload") >= LEAST_LENGTH) & ~F.col("payload").isin(*X.STOPWORDS)).withColumn("entropy", X.entropy(F.col("payload"))).where(F.col("entropy") >= LEAST_ENTROPY)
+    return p.where((F.length("payload") >= LEAST_LENGTH) & ~F.col("payload").isin(*X.STOPWORDS))
 
 
 def correlation_confidence(length, sites, mechanisms, entropy):
@@ -69,18 +71,63 @@ def correlation_confidence(length, sites, mechanisms, entropy):
 def correlate(findings: DataFrame, within: str | None = "file_id", file: str = "file_id") -> DataFrame:
     """Payloads met at two sites of a file (``within``), or, with None, in two files.
 
-    A grouped count, not a self-join: a payload in many files stays one row."""
+    A grouped count, not a self-join: a payload in many files stays one row.  Entropy is a matter of the payload alone,
+    so it is counted once for each that met, after the grouping."""
     p = payloads(findings)
     keys = [within, "payload"] if within else ["payload"]
     site = F.concat_ws("\x00", "mechanism", "location") if within else F.col(file).cast("string")
     g = p.groupBy(*keys).agg(
-        F.count_distinct(site).alias("n_sites"), F.count_distinct("mechanism").alias("n_mechanisms"), F.count_distinct(file).alias("n_files"), F.max("entropy").alias("entropy"),
+        F.count_distinct(site).alias("n_sites"), F.count_distinct("mechanism").alias("n_mechanisms"), F.count_distinct(file).alias("n_files"),
         F.sort_array(F.collect_set("mechanism")).alias("mechanisms"),
     ).where("n_sites >= 2")
+    g = g.withColumn("entropy", X.entropy(F.col("payload"))).where(F.col("entropy") >= LEAST_ENTROPY)
     conf = correlation_confidence(F.length("payload"), F.col("n_sites"), F.col("n_mechanisms"), F.col("entropy"))
     return g.select(*keys, X.fingerprint(F.col("payload")).alias("fingerprint"), "n_sites", "n_files", "mechanisms", conf.alias("confidence"), F.when(F.col("n_sites") >= 5, 1).otherwise(2).alias("tier"))
 
 
+def cross_files(findings: DataFrame, cross: DataFrame, file: str = "file_id") -> DataFrame:
+    """fingerprint, file: one row for each file that holds a payload of ``cross``; however many they are, none is one row's list."""
+    return payloads(findings).join(cross.select("payload", "fingerprint"), "payload").select("fingerprint", file).distinct()
+
+
+# Mechanisms by the stem of a media file that they speak of, and words with which metadata declares text.
+STEMS = {
+    "lyric": ["audio_lyrics_prompt_injection"],
+    "embedded": ["video_embedded_attachment", "video_frame_stego_candidate", "audio_embedded_payload"],
+    "container": ["video_container_anomaly", "audio_container_anomaly"],
+    "sample": ["audio_lsb_stego_candidate"],
+    "inventory": ["video_stream_inventory", "audio_stem_inventory"],
+}
+DECLARES = ["caption", "subtitle", "subtitled", "lyric", "transcript", "dialog", "narration", "sdh", "cc "]
+
+
+def stems(files: DataFrame, findings: DataFrame, key: str = "file_id") -> DataFrame:
+    """files(key, kind) -> key, kind, findings a stem, and ``undeclared``: text is carried that no metadata declares."""
+    named = {m: s for s, ms in STEMS.items() for m in ms}
+    stem = F.when(F.col("mechanism").startswith("subtitle_"), "subtitle").when(F.col("mechanism").isin(*STEMS["lyric"]), "lyric").when(F.col("mechanism").contains("metadata"), "metadata")
+    for m, s in named.items():
+        stem = stem.when(F.col("mechanism") == m, s)
+    said = F.lower(F.concat_ws(" ", "location", "concealed"))
+    declared = reduce(lambda a, b: a | b, [F.contains(said, F.lit(w)) for w in DECLARES])
+    f = findings.select(key, stem.alias("stem"), declared.alias("declared")).where("stem IS NOT NULL")
+    names = ["subtitle", "lyric", "metadata", *[s for s in STEMS if s != "lyric"]]
+    g = f.groupBy(key).agg(*[F.count_if(F.col("stem") == s).alias(s) for s in names], F.max((F.col("stem") == "metadata") & F.col("declared")).alias("_declared"))
+    j = files.select(key, "kind").join(g, key, "left").fillna(0, names).fillna(False, ["_declared"])
+    return j.withColumn("undeclared", ((F.col("subtitle") + F.col("lyric")) > 0) & ~F.col("_declared")).drop("_declared")
+
+
+def stem_findings(files: DataFrame, findings: DataFrame, key: str = "file_id") -> DataFrame:
+    """Findings across the stems of each file: an inventory for every file, and text that its metadata keeps silent about.
+
+    They are asked for, not part of a scan."""
+    s = stems(files, findings, key)
+    names = sorted(c for c in s.columns if c not in (key, "kind", "undeclared"))
+    counts = F.array_join(F.array_compact(F.array(*[F.when(F.col(c) > 0, F.concat(F.lit(f"{c}="), F.col(c).cast("string"))) for c in names])), ", ")
+    one = lambda m, c, text: F.struct(F.lit(m).alias("mechanism"), F.lit(c).alias("confidence"), text.alias("concealed"))
+    both = F.array(F.when(F.col("undeclared"), one("cross_stem_undeclared_text", 0.85, counts)), one("cross_stem_inventory", 1.0, counts))
+    return s.select(key, "kind", F.inline(F.array_compact(both))).withColumn("location", F.col(key).cast("string"))
+
+
 def early_exit(findings: DataFrame, key: str = "file_id") -> DataFrame:
     """The findings of a staged run: analyzers in order of cost, none after one with a terminal finding."""
     w = Window.partitionBy(key).orderBy("rank").rangeBetween(Window.unboundedPreceding, -1)

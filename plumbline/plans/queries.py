@@ -62,13 +62,18 @@ def q_tag_shadow(spark, sf):
     return S.documents(spark, sf).where(F.col("text").rlike(X.TAG)).select("doc_id", X.tag_shadow(F.col("text")).alias("shadow"))
 
 
-def doc_findings(spark, sf, exploded=False):
+def doc_findings(spark, sf):
     """Findings of the seeded documents: line by line for code points, word by word for look-alikes."""
     one = lambda m, c: F.struct(F.lit(m).alias("mechanism"), F.lit(c).alias("confidence"))
-    per = F.array(*[F.when(F.col("line").rlike(p), one(m, c)) for m, c, p in (("zero_width_chars", 0.9, X.ZERO_WIDTH), ("tag_chars", 1.0, X.TAG), ("bidi_control", 0.9, X.BIDI))])
-    a = lines(spark, sf).select("doc_id", F.inline(F.filter(per, lambda x: x.isNotNull())))
-    b = S.documents(spark, sf).select("doc_id", F.explode(X.homoglyph_words(F.col("text")))).select("doc_id", F.lit("homoglyph").alias("mechanism"), F.lit(0.85).alias("confidence"))
-    return a.unionByName(b).join(F.broadcast(dimension(spark)), "mechanism")
+    marks = (("zero_width_chars", 0.9, X.ZERO_WIDTH), ("tag_chars", 1.0, X.TAG), ("bidi_control", 0.9, X.BIDI))
+    # one pass over the texts: few have a mark at all, and only those are split
+    text = F.col("text")
+    per_line = F.flatten(F.transform(F.split(text, "\n"), lambda x: F.array(*[F.when(x.rlike(p), one(m, c)) for m, c, p in marks])))
+    none = F.array().cast("array<struct<mechanism:string,confidence:double>>")
+    a = F.when(text.rlike(f"{X.ZERO_WIDTH}|{X.BIDI}|{X.TAG}"), F.array_compact(per_line)).otherwise(none)
+    b = F.coalesce(F.transform(X.homoglyph_words(text), lambda w: one("homoglyph", 0.85)), none)
+    d = S.documents(spark, sf).select("doc_id", F.inline(F.concat(a, b)))
+    return d.join(F.broadcast(dimension(spark)), "mechanism")
 
 
 FOUND = f"""found AS (SELECT * FROM (SELECT doc_id, 'zero_width_chars' AS mechanism, 0.9 AS confidence FROM lines WHERE regexp_matches(line, '{ZW}')
@@ -505,6 +510,31 @@ def q_limits(spark, sf):
     return S.table(spark, sf, "documents").select("doc_id", "n_chars", F.when(F.col("n_chars") > 16384, "file").when(F.col("n_chars") < 16, "floor").otherwise("ok").alias("limit_hit"))
 
 
+def _json_units(spark, sf, text, unit):
+    """Units of one kind of the JSON files that are made of events."""
+    from .scan import decompose
+
+    files = S.table(spark, sf, "events").select(F.concat("event_id", F.lit(".json")).alias("file_id"), text.cast("binary").alias("content"))
+    return decompose(files).where(F.col("unit") == unit).withColumn("event_id", F.substring_index("file_id", ".", 1).cast("long"))
+
+
+@query("SELECT event_id, (event_id % 9 + 1 + CASE WHEN props LIKE '{%' THEN 1 ELSE 0 END)::INT AS depth FROM events")
+def q_json_depth(spark, sf):
+    """Depth of containers as the parser finds it; each event's properties lie in some objects within one another."""
+    n = (F.col("event_id") % 9 + 1).cast("int")
+    text = F.concat(F.repeat(F.lit('{"a": '), n), "props", F.repeat(F.lit("}"), n))
+    return _json_units(spark, sf, text, "json_file").select("event_id", F.col("a")["depth"].cast("int").alias("depth"))
+
+
+@query("SELECT event_id, '$.' || CASE event_id % 5 WHEN 0 THEN 'id' ELSE 'props.k' END AS path, CASE event_id % 5 WHEN 0 THEN 'id' ELSE 'k' END AS key FROM events WHERE event_id % 5 IN (0, 3)")
+def q_json_dup(spark, sf):
+    """Keys that an object holds twice, as the parser finds them: at the top for some events, inside for others."""
+    top = F.when(F.col("event_id") % 5 == 0, F.lit('"id": 0, ')).otherwise(F.lit(""))
+    props = F.when(F.col("event_id") % 5 == 3, F.lit('{"k": 1, "k": 2}')).otherwise(F.col("props"))
+    text = F.concat(F.lit("{"), top, F.lit('"id": 1, "props": '), props, F.lit("}"))
+    return _json_units(spark, sf, text, "json_twice").select("event_id", F.col("loc").alias("path"), F.col("text").alias("key"))
+
+
 # ---- whole scans: documents, pages, conversations and JSON through the parsers (rows only)
 
 

@@ -48,3 +48,18 @@ def batch_summary(reports: DataFrame, findings: DataFrame, cross: DataFrame) ->
     a = reports.agg(F.count("*").alias("files_scanned"), F.coalesce(F.sum("n_findings"), F.lit(0)).alias("per_file_findings"), F.coalesce(F.max("incomplete"), F.lit(False)).alias("any_incomplete"))
     b = cross.agg(F.count("*").alias("cross_file_findings"))
     return a.join(F.broadcast(b), F.lit(True)).withColumn("total_findings", F.col("per_file_findings") + F.col("cross_file_findings"))
+
+
+def cross_findings(cross: DataFrame, cross_files: DataFrame) -> DataFrame:
+    """Findings of payloads shared by files; location lists the files in order, for a batch that a reader reads.
+
+    ``cross_files`` itself has a row a file, for batches in which a payload is in very many."""
+    files = cross_files.groupBy("fingerprint").agg(F.array_join(F.sort_array(F.collect_set(F.col("file_id").cast("string"))), "; ").alias("location"))
+    j = cross.join(files, "fingerprint")
+    concealed = F.concat(F.lit("payload fingerprint "), "fingerprint", F.lit(" across "), F.col("n_files").cast("string"), F.lit(" file(s)"))
+    return j.select(F.lit("cross_format_payload_match").alias("mechanism"), "tier", F.lit(0.3).alias("severity"), "confidence", "location", concealed.alias("concealed"), "mechanisms")
+
+
+def involved_files(cross_files: DataFrame) -> DataFrame:
+    """The files named in any cross-file finding, each once, in order."""
+    return cross_files.select("file_id").distinct().orderBy("file_id")

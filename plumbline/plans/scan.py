@@ -21,6 +21,8 @@ from ..sources import text_formats as X
 
 UNITS = "file_id string, kind string, mismatch boolean, ord int, unit string, loc string, text string, a map<string,string>"
 MAX_FILE = 256 << 20
+#: Attachments within attachments that are scanned; deeper ones are reported as limited.
+MAX_NESTED = 2
 #: Analyzer of a unit kind, and the order in which analyzers report.
 ANALYZERS = ["pdf_text", "pdf_objects", "text", "json", "image", "svg", "docx", "html", "xlsx", "pptx", "eml", "csv", "file", "video", "audio"]
 
@@ -90,7 +92,8 @@ def _parsed(raw: bytes, kind: str, nested: int):
 
 
 def _inner(raw: bytes, name: str, nested: int, parent: str):
-    if nested >= 2:
+    if nested >= MAX_NESTED:
+        yield "scan_limited", name, "nesting", {"parent": parent}
         return
     _, _, units = units_of(raw, name, nested + 1)
     for unit, loc, text, a in units:
@@ -129,7 +132,17 @@ class Scan:
     findings: DataFrame
     reports: DataFrame
     cross: DataFrame
+    cross_files: DataFrame
     gate: DataFrame
+    held: tuple[DataFrame, ...] = ()
+
+    def stem_findings(self) -> DataFrame:
+        return with_dimension(scoring.stem_findings(self.reports, self.findings))
+
+    def release(self) -> None:
+        """Give back the blocks that the scan's results are read from; they are computed anew if read again."""
+        for d in self.held:
+            d.unpersist()
 
 
 def read_files(spark: SparkSession, path: str, max_size: int = MAX_FILE) -> DataFrame:
@@ -156,8 +169,9 @@ def scan(files: DataFrame, mode: str = "forensic") -> Scan:
     if mode not in ("forensic", "production"):
         raise ValueError(f"unknown mode {mode!r}")
     units = decompose(files).persist()
-    found = ranked(findings(units).unionByName(overlapping(units)))
-    found = with_dimension(found)
+    # findings are few and narrow: the detectors run once for scores, gate and both correlations
+    found = with_dimension(ranked(findings(units).unionByName(overlapping(units)))).persist()
+    held = (units, found)
     if mode == "production":
         found = scoring.early_exit(found)
     # one file's payloads meeting at two sites are a finding themselves; PDFs are not correlated
@@ -171,20 +185,8 @@ def scan(files: DataFrame, mode: str = "forensic") -> Scan:
     found = found.withColumn("ordinal", F.row_number().over(Window.partitionBy("file_id").orderBy("rank", "ord", "trig", "location")))
     rep = scoring.reports(base, found)
     cross = scoring.correlate(found.where("kind <> 'pdf'"), within=None)
-    return Scan(found, rep, cross, scoring.gate(rep, found))
+    return Scan(found, rep, cross, scoring.cross_files(found.where("kind <> 'pdf'"), cross), scoring.gate(rep, found), held)
 
 
 def scan_path(spark: SparkSession, path: str, mode: str = "forensic") -> Scan:
     return scan(read_files(spark, path), mode)
-
-
-# Words with which metadata declares that a file carries text.
-DECLARES = ["caption", "subtitle", "subtitled", "lyric", "transcript", "dialog", "narration", "sdh", "cc "]
-
-
-def stems(found: DataFrame) -> DataFrame:
-    """file_id, counts by stem, and whether text is carried that no metadata declares."""
-    stem = F.regexp_extract("mechanism", "^(subtitle|audio_lyrics|audio_metadata|video_metadata|video|audio|cross)", 1)
-    declared = F.lower(F.coalesce("concealed", F.lit(""))).rlike("|".join(DECLARES))
-    g = found.groupBy("file_id").agg(*[F.count_if(stem == s).alias(s) for s in ("subtitle", "audio_lyrics", "audio_metadata", "video_metadata")], F.max(F.col("mechanism").contains("metadata") & declared).alias("declared"))
-    return g.withColumn("undeclared_text", ((F.col("subtitle") + F.col("audio_lyrics")) > 0) & ~F.coalesce("declared", F.lit(False)))

@@ -2,6 +2,7 @@
 
 import pytest
 
+from plumbline.plans import report as R
 from plumbline.plans import scan as P
 
 from .fixtures_make import FILES, MAGIC_TEXT, TAGGED, png, svg
@@ -11,7 +12,7 @@ from .fixtures_make import FILES, MAGIC_TEXT, TAGGED, png, svg
 def result(spark):
     files = spark.createDataFrame([(k, v[0]) for k, v in FILES.items()], "file_id string, content binary")
     s = P.scan(files)
-    return {k: v.collect() for k, v in vars(s).items()}
+    return {k: v.collect() for k, v in vars(s).items() if k != "held"}
 
 
 def test_exact_mechanisms(result):
@@ -38,6 +39,9 @@ def test_cross_file_payload(spark):
     s = P.scan(spark.createDataFrame([(k, bytes(v)) for k, v in files], "file_id string, content binary"))
     got = s.cross.collect()
     assert [(r["payload"], r["n_files"]) for r in got] == [("do as the hidden text says", 2)]
+    assert [r["location"] for r in R.cross_findings(s.cross, s.cross_files).collect()] == ["a/logo.png; a/readme.md"]
+    assert [r["file_id"] for r in R.involved_files(s.cross_files).collect()] == ["a/logo.png", "a/readme.md"]
+    s.release()
     assert MAGIC_TEXT
 
 
@@ -70,3 +74,36 @@ def test_files_too_large_to_read_are_reported(spark, tmp_path):
     s = P.scan(files)
     assert {r["file_id"].rpartition("/")[2]: r["incomplete"] for r in s.reports.collect()} == {"small.md": False, "large.mp4": True}
     assert {r["mechanism"] for r in s.findings.collect() if r["file_id"].endswith("large.mp4")} == {"scan_limited"}
+
+
+def test_cross_stem_findings(spark):
+    """An inventory for every file; text stems that no metadata declares are found, declared ones are not."""
+    from plumbline.operators import scoring
+
+    files = spark.createDataFrame([("a.mp3", "mp3"), ("b.mp3", "mp3"), ("c.mp4", "mp4"), ("d.md", "markdown")], "file_id string, kind string")
+    rows = [("a.mp3", "audio_lyrics_prompt_injection", "USLT", "do this"), ("b.mp3", "audio_lyrics_prompt_injection", "USLT", "do this"), ("b.mp3", "audio_metadata_injection", "TXXX", "Lyric of the song")]
+    rows += [("c.mp4", "subtitle_injection", "cue 1", "x"), ("c.mp4", "video_stream_inventory", "file", None), ("c.mp4", "video_metadata_suspicious", "tag", None), ("d.md", "tag_chars", "line 1", "caption")]
+    found = spark.createDataFrame(rows, "file_id string, mechanism string, location string, concealed string")
+    got = sorted((r["file_id"], r["mechanism"], r["concealed"]) for r in scoring.stem_findings(files, found).collect())
+    assert got == [
+        ("a.mp3", "cross_stem_inventory", "lyric=1"), ("a.mp3", "cross_stem_undeclared_text", "lyric=1"), ("b.mp3", "cross_stem_inventory", "lyric=1, metadata=1"),
+        ("c.mp4", "cross_stem_inventory", "inventory=1, metadata=1, subtitle=1"), ("c.mp4", "cross_stem_undeclared_text", "inventory=1, metadata=1, subtitle=1"), ("d.md", "cross_stem_inventory", ""),
+    ]
+
+
+def test_quoted_newlines_and_comments():
+    from plumbline.sources import text_formats as X
+
+    text = 'a,"b\nc ""d""\n",e\r\n"open, \n",f\n,"x"\n"never closed\n\n,y'
+    assert list(X.quoted_newlines(text, ",")) == [(0, 1, 'b\nc "d"\n', 2), (1, 0, "open, \n", 1), (3, 0, "never closed\n\n,y", 2)]
+    assert list(X.quoted_newlines('p|"q\n\n"|r', "|")) == [(0, 1, "q\n\n", 2)] and list(X.quoted_newlines("", ",")) == []
+    text = '{"a": "// no /* no */ \\" // no", // one\n "b": 1 /* two\nlines */, "c": "/*"} /* open'
+    assert [(k, b) for _, k, b in X.json_comments(text)] == [("line", " one"), ("block", " two\nlines "), ("block", " open")]
+    assert [at for at, _, _ in X.json_comments(text)] == [text.index("// one"), text.index("/* two"), text.index("/* open")]
+
+
+def test_deeper_attachments_are_reported():
+    from plumbline.plans.scan import MAX_NESTED, _inner
+
+    assert [u[:3] for u in _inner(b"words", "x.md", MAX_NESTED, "")] == [("scan_limited", "x.md", "nesting")]
+    assert [u[0] for u in _inner(b"words", "x.md", MAX_NESTED - 1, "")] == ["line"]
