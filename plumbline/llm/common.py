@@ -76,6 +76,17 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 19) ->
             at = end
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Names like those given that no column of ``taken`` has (Spark compares names without case)."""
+    have, out = {c.lower() for c in taken}, []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        have.add(n.lower())
+        out.append(n)
+    return out
+
+
 def lower_ascii(col):
     """A-Z to a-z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

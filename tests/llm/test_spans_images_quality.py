@@ -77,6 +77,32 @@ def test_windows_choose_equal_kmers():
     at = 100  # the shared run starts at 200 of a and at 100 of b
     for i in range(51):
         assert pa[200 + i] - 200 == pb[at + i] - at and ka[pa[200 + i]] == kb[pb[at + i]]
+    plain = [i + int(np.argmin(ka[i : i + S.WINDOW - S.K + 1])) for i in range(len(a) - S.WINDOW + 1)]
+    assert pa.tolist() == plain
+    same = np.full(120, 7, np.uint64)  # ties: the leftmost
+    assert S.chosen(same)[1].tolist() == list(range(71))
+    assert all(len(x) == 0 for x in S.chosen(w[:5]))
+
+
+def test_paths_are_compacted_by_joins(spark):
+    """Heads and distances on paths of many lengths, against walking back along only links."""
+    from plumbline.llm import substring_dedup as S
+
+    r = random.Random(6)
+    rows, want, node = [], {}, 1
+    for n in (1, 2, 3, 5, 8, 17, 40):
+        head, off = node, 0
+        for i in range(n):
+            gap = r.randint(1, 43)
+            inner = i + 1 < n
+            rows.append((node, node + 1 if inner else 999_000 + node, gap, 5000 + node if inner else None, 5000 + node - 1 if i else None))
+            if i:
+                want[node] = (head, off)
+            off += gap
+            node += 1
+    rows.append((node, 1, 4, 77, 77))  # its only successor has another predecessor
+    got = {x[0]: (x[1], x[2]) for x in S.paths(spark.createDataFrame(rows, "kmer long, next long, gap long, link_out long, link_in long")).collect()}
+    assert got == want
 
 
 def test_quality_classifier(spark):
