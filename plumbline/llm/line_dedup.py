@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii, read
+from .common import cut, fresh, lower_ascii, read
 
 MIN_CHARS, MIN_DOCS, SALTS = 40, 5, 16
 STRIP = " \t\n\x0b\x0c\r"
@@ -130,8 +130,11 @@ def line_keys(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(keys).alias("k")).select("doc_id", digest(F.col("k")).alias("key"))
 
 
-def _tables(changes: DataFrame, filters: DataFrame | None, shards: int) -> DataFrame:
-    """Filters after changes(shard, key, add): cogrouped by shard."""
+FILTER, FULL = "shard int, filter binary, load double", 0.85
+
+
+def _tables(changes: DataFrame, filters: DataFrame | None) -> DataFrame:
+    """Filters after changes(shard, key, add): cogrouped by shard; load: share of the slots in use, 1 if some key found none."""
 
     def update(left: pa.Table, right: pa.Table) -> pa.Table:
         keys, add = _as_pairs(left["key"]), np.array(left["add"].to_pylist(), bool)
@@ -139,16 +142,19 @@ def _tables(changes: DataFrame, filters: DataFrame | None, shards: int) -> DataF
         f.delete(keys[~add])
         f.insert(keys[add])
         shard = (left if left.num_rows else right)["shard"][0].as_py()
-        return pa.table({"shard": pa.array([shard], pa.int32()), "filter": pa.array([f.dump()], pa.binary())})
+        return pa.table({"shard": pa.array([shard], pa.int32()), "filter": pa.array([f.dump()], pa.binary()), "load": pa.array([1.0 if f.stash else float((f.table > 0).mean())])})
 
     if filters is None:
-        filters = changes.sparkSession.createDataFrame([], "shard int, filter binary")
-    return changes.groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(update, "shard int, filter binary")
+        filters = changes.sparkSession.createDataFrame([], FILTER)
+    return changes.groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(update, FILTER)
 
 
 @dataclass
 class LineIndex:
-    """State of the index; every operation returns a new one, so an earlier one can be kept."""
+    """State of the index; every operation returns a new one, so an earlier one can be kept.
+
+    A change counts again only the keys that it touches, adds its postings as a table of their own and updates the
+    filters of its shards; a filter whose load passes ``FULL`` is built anew, twice as large as its keys need."""
 
     postings: DataFrame
     counts: DataFrame
@@ -169,25 +175,36 @@ class LineIndex:
         if keep_postings:
             postings = cut(postings.where("doc_id IS NOT NULL").distinct(), "line-postings")
         counts = cut(cls._counted(postings, shards), "line-counts")
-        live = counts.where(F.col("n_docs") >= MIN_DOCS).select("shard", "key", F.lit(True).alias("add"))
-        return cls(postings, counts, cut(_tables(live, None, shards), "line-filters"), shards)
+        return cls(postings, counts, cut(_tables(cls._live(counts).withColumn("add", F.lit(True)), None), "line-filters"), shards)
+
+    @staticmethod
+    def _live(counts: DataFrame) -> DataFrame:
+        return counts.where(F.col("n_docs") >= MIN_DOCS).select("shard", "key")
 
     def _changed(self, postings: DataFrame, touched: DataFrame) -> "LineIndex":
-        counts = cut(self._counted(postings, self.shards), "line-counts")
-        live = lambda c: c.where(F.col("n_docs") >= MIN_DOCS).join(touched, "key", "left_semi").select("shard", "key")
-        now, before = live(counts), live(self.counts)
+        """touched: the distinct keys whose postings changed."""
+        before = self._live(self.counts.join(touched, "key", "left_semi"))
+        again = cut(self._counted(postings.join(touched, "key", "left_semi"), self.shards), "line-counts")
+        now = self._live(again)
+        counts = cut(self.counts.join(touched, "key", "left_anti").unionByName(again), "line-counts")
         changes = now.join(before, "key", "left_anti").withColumn("add", F.lit(True)).unionByName(before.join(now, "key", "left_anti").withColumn("add", F.lit(False)))
-        return LineIndex(postings, counts, cut(_tables(changes, self.filters, self.shards), "line-filters"), self.shards)
+        filters = cut(_tables(changes, self.filters), "line-filters")
+        full = filters.where(F.col("load") > FULL).select("shard")
+        if not full.isEmpty():
+            larger = _tables(self._live(counts).join(full, "shard", "left_semi").withColumn("add", F.lit(True)), None)
+            filters = cut(filters.join(full, "shard", "left_anti").unionByName(larger), "line-filters", filters)
+        return LineIndex(postings, counts, filters, self.shards)
 
     def insert(self, docs: DataFrame) -> "LineIndex":
         """Documents may be inserted again: postings are a set."""
-        new = line_keys(docs).where("doc_id IS NOT NULL").distinct()
-        return self._changed(cut(self.postings.unionByName(new).distinct(), "line-postings"), new.select("key").distinct())
+        new = cut(line_keys(docs).where("doc_id IS NOT NULL").distinct().join(self.postings, ["doc_id", "key"], "left_anti"), "line-postings")
+        return self._changed(self.postings.unionByName(new.select(*self.postings.columns)), new.select("key").distinct())
 
     def delete(self, ids: DataFrame) -> "LineIndex":
         """ids(doc_id): takes these documents out; ids that aren't in the index change nothing."""
-        gone = self.postings.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
-        return self._changed(cut(self.postings.join(ids.select("doc_id").distinct(), "doc_id", "left_anti"), "line-postings"), gone.select("key").distinct())
+        ids = ids.select("doc_id").distinct()
+        touched = cut(self.postings.join(ids, "doc_id", "left_semi").select("key").distinct(), "line-touched")
+        return self._changed(cut(self.postings.join(ids, "doc_id", "left_anti"), "line-postings"), touched)
 
     def drops(self, docs: DataFrame) -> DataFrame:
         """(doc_id, key) of the lines that documents lose."""
@@ -210,13 +227,13 @@ class LineIndex:
 def without(docs: DataFrame, drops: DataFrame) -> DataFrame:
     """docs with the lines of ``drops`` left out of text, and n_lines (before), n_dropped."""
     keep = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    lost = drops.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("key").alias("_lost"))
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    id_, gone, lines, kept = fresh(docs.columns, "_id", "_gone", "_lines", "_kept")
+    lost = drops.groupBy(F.col("doc_id").alias(id_)).agg(F.collect_set("key").alias(gone))
     # rows with null ids have their drops under a null key of their own
-    j = docs.select(*keep, F.col("text"), lines.alias("_lines")).join(lost, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    stays = lambda x: (F.length(x) < MIN_CHARS) | ~F.array_contains(F.col("_lost"), digest(line_key(x)))
-    j = j.withColumn("_kept", F.when(F.col("_lost").isNull(), F.col("_lines")).otherwise(F.filter("_lines", stays)))
-    out = j.select(*keep, F.array_join("_kept", "\n").alias("text"), F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"))
+    j = docs.select(*keep, F.col("text"), F.split(F.coalesce("text", F.lit("")), "\n").alias(lines)).join(lost, F.col("doc_id").eqNullSafe(F.col(id_)), "left")
+    stays = lambda x: (F.length(x) < MIN_CHARS) | ~F.array_contains(F.col(gone), digest(line_key(x)))
+    j = j.withColumn(kept, F.when(F.col(gone).isNull(), F.col(lines)).otherwise(F.filter(lines, stays)))
+    out = j.select(*keep, F.array_join(kept, "\n").alias("text"), F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(kept)).cast("long").alias("n_dropped"))
     return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
 
 

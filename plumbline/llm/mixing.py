@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, read
+from .common import WORD, cut, fresh, read
 
 WEIGHTS, SHARE, CAP, SEED = (3, 1, 2), 1.5, 2, "plumbline"
 
@@ -75,13 +75,15 @@ def mix(docs: DataFrame) -> DataFrame:
 
     Rows of one id must agree in source and text; copies are dealt to ids, then to their rows in turn."""
     sized = docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"))
-    taken = cut(plan(sized).groupBy("doc_id").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0").withColumnRenamed("doc_id", "_id"), "mix-taken")
-    j = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
+    copies, rows, id_, row, copy = fresh(docs.columns, "_copies", "_rows", "_id", "_row", "_copy")
+    taken = plan(sized).groupBy("doc_id").agg(F.sum("copies").alias(copies), F.count("*").alias(rows)).where(F.col(copies) > 0)
+    taken = cut(taken.withColumnRenamed("doc_id", id_), "mix-taken")
+    j = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(id_)))
     # only rows of ids with several rows are numbered
-    several = j.where("_rows > 1").withColumn("_row", F.row_number().over(Window.partitionBy("_id").orderBy("_id")))
-    j = j.where("_rows = 1").withColumn("_row", F.lit(1)).unionByName(several)
-    each = F.expr("cast((_copies + _rows - _row) div _rows as int)")
-    return j.select(*[F.col(c) for c in docs.columns], F.explode(F.array_repeat(F.lit(1), each)).alias("_copy")).drop("_copy")
+    several = j.where(F.col(rows) > 1).withColumn(row, F.row_number().over(Window.partitionBy(id_).orderBy(id_)))
+    j = j.where(F.col(rows) == 1).withColumn(row, F.lit(1)).unionByName(several)
+    each = F.floor((F.col(copies) + F.col(rows) - F.col(row)) / F.col(rows)).cast("int")
+    return j.select(*[F.col(c) for c in docs.columns], F.explode(F.array_repeat(F.lit(1), each)).alias(copy)).drop(copy)
 
 
 def op10_mix_sources(spark, sf_dir: str) -> DataFrame:

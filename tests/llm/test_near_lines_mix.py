@@ -160,6 +160,7 @@ def test_line_index_is_reversible(spark):
     in_b = {r[0] for r in b} - {r[0] for r in a}
     back = index.delete(spark.createDataFrame([(x,) for x in in_b], "doc_id long"))
     assert sorted(digest_lines(without(first, back.drops(first)))) == sorted(brute_lines(a))
+    assert back.counts.where("n_docs > 0").count() == LineIndex.build(first).counts.count()
     none = back.delete(first.select("doc_id"))
     assert none.counts.count() == 0 and none.drops(first).count() == 0
 
@@ -227,3 +228,33 @@ def test_mix_deals_copies_to_the_rows_of_an_id_in_turn(spark):
     got = {r[0]: r[1] for r in M.mix(d).groupBy("doc_id").count().collect()}
     assert got == {k: n for k, n in copies.items() if n}
     assert any(copies[k] % sum(r[0] == k for r in data) for k in (None, 7))
+
+
+def test_line_filters_grow_with_their_keys(spark):
+    """Inserts of many times the keys that a filter was made for: it is built anew, and finds them all."""
+    from plumbline.llm.line_dedup import FULL, LineIndex
+
+    line = lambda k: f"a line of text that is long enough to be counted, {k}"
+    docs = lambda ids, ks: spark.createDataFrame([(i, "\n".join(map(line, ks))) for i in ids], "doc_id long, text string")
+    index = LineIndex.build(docs(range(6), range(3)), shards=2)
+    index = index.insert(docs(range(10, 16), range(400)))
+    assert all(r["load"] <= FULL for r in index.filters.collect())
+    assert index.drops(docs([10], range(400))).count() == 400
+    index = index.delete(docs(range(10, 16), []).select("doc_id"))
+    assert index.drops(docs([10], range(400))).count() == 3
+
+
+def test_clashing_columns_pass_through(spark):
+    """Columns named as the operators might name theirs."""
+    from plumbline.llm.line_dedup import dedup_lines
+    from plumbline.llm.mixing import mix
+    from plumbline.llm.substring_dedup import dedup_spans
+    from pyspark.sql import functions as F
+
+    names = ["_id", "_k", "_n", "_gone", "_lines", "_kept", "_copies", "_rows", "_row", "_copy", "_D8", "_joined"]
+    d = H.table(spark).select("*", *[F.lit(n).alias(n) for n in names])
+    for f in (dedup_lines, mix, dedup_spans):
+        out = f(d)
+        assert [c for c in out.columns if c not in ("n_lines", "n_dropped", "n_words", "n_removed")] == d.columns
+        rows = out.select(*names).distinct().collect()
+        assert [list(r) for r in rows] == [names]
