@@ -68,7 +68,7 @@ def release(*tables: DataFrame) -> None:
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Parts of batches with about ``most`` bytes in column ``text``, or one row: what Python holds of a batch at once."""
     for b in batches:
-        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 512)
         at = 0
         while at < b.num_rows:
             end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))

@@ -8,8 +8,8 @@ their own, so that two registers agree with the probability of the sets' Jaccard
 
 1. Texts of one set collapse to a class (a set digest), its smallest id its representative.
 2. ``BANDS`` bands of ``ROWS`` registers; representatives that share a band meet in a bucket.
-   The bands share 256 registers, so they are not independent: a pair at similarity 0.8 shares none with
-   probability 1.9e-4 (simulated with independent registers: 74 of 400,000); no later pass finds it.
+   No two bands share a register: with registers that agree independently, a pair at similarity 0.8 shares no
+   band with probability (1 - 0.8 ** 8) ** 64 = 8e-6; no later pass finds it.
 3. Each representative is first compared with the smallest id that it shares a bucket with.
    Registers estimate the similarity, corrected for chance collisions; pairs five deviations
    below are dropped, the others are confirmed on the full sets.
@@ -42,7 +42,7 @@ from .components import connected
 from .word_hashes import mix as _mix
 from .word_hashes import words
 
-REGISTERS, BANDS, ROWS, MANTISSA, PROBES = 256, 64, 8, 10, 6
+REGISTERS, BANDS, ROWS, MANTISSA, PROBES = 512, 64, 8, 10, 6
 #: Buckets up to SMALL are paired by a join, up to BLOCK in one task, beyond in blocks of it.
 SMALL, BLOCK = 6, 2048
 #: Ids of bucket mates are broadcast up to this many (16 MB), and shuffled beyond.
@@ -55,7 +55,8 @@ _U = np.uint64
 
 _SALT = _mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 _PROBE = (_mix(np.arange(1, REGISTERS * PROBES + 1, dtype=np.uint64) * _U(0xD1342543DE82EF95)) % _U(REGISTERS)).astype(np.int64).reshape(PROBES, REGISTERS)
-_COLUMNS = np.argsort(_mix(np.arange(1, BANDS * REGISTERS + 1, dtype=np.uint64) * _U(0xA0761D6478BD642F)).reshape(BANDS, REGISTERS), axis=1)[:, :ROWS]
+#: The registers of each band; no two bands share one.
+_COLUMNS = np.argsort(_mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * _U(0xA0761D6478BD642F)))[: BANDS * ROWS].reshape(BANDS, ROWS)
 _WEIGHT = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _U(0xE7037ED1A0B428DB)).reshape(BANDS, ROWS) | _U(1)
 _BAND = _mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _U(0x8EBC6AF09C88C6E3))
 
@@ -193,8 +194,8 @@ def _compared(groups: DataFrame, least: float) -> DataFrame:
         earlier = bands[:, : np.flatnonzero(bands[0] == t["key"][0].as_py())[0]]
         out = []
         rest = np.flatnonzero(comp != names[n.argmax()])
-        for at in range(0, len(rest), 16):
-            k = rest[at : at + 16]
+        for at in range(0, len(rest), 8):
+            k = rest[at : at + 8]
             same = ((regs[k][:, None, :] == regs[None]) & full[k][:, None, :] & full[None]).sum(2)
             union = (full[k][:, None, :] | full[None]).sum(2)
             x, y = np.nonzero(_plausible(same, union, size[k][:, None], size[None], least) & (comp[k][:, None] != comp[None]))
