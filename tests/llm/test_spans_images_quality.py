@@ -204,11 +204,65 @@ def test_quality_rules_and_urls_on_awkward_rows(spark):
     assert [(got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"]) for i in (0, 1, 2, 3, 4, 5)] == [
         ("www.example.com", "/en/x", "www.example.com/en/", "allow"), ("a.net", "/es/", "net/es/", "block"), ("net", "/fr/z", "net/fr/", "block"), ("x.com", "", None, None), ("x.com", "/", "com/", "allow"), ("", "", None, None),
     ]
-    o = spark.createDataFrame([(0, 1), (0, 0), (1, None), (99, 1)], "page_id long, good int")
-    rep = U.reputation(p.select("page_id", "host"), o).collect()
-    assert {r["host"] for r in rep} == {r["host"] for r in p.collect()} and all(0 <= r["mean"] <= 1 for r in rep)
-    assert len(U.reputation(p.select("page_id", "host"), o.where("false")).collect()) == len(rep)
-    assert U.reputation(p.select("page_id", "host").where("false"), o).collect() == []
+    rep = U.reputation(p.select("host", F.lit(None).cast("long").alias("good"))).collect()
+    assert {r["host"] for r in rep} == {r["host"] for r in p.collect()} and all(r["mean"] == 1 and r["n"] == 0 for r in rep)
+    assert U.reputation(p.select("host", F.lit(1).cast("long").alias("good")).where("false")).collect() == []
+
+
+def plain_reputation(hosts, z=1.645):
+    """hosts: name -> (n, s) -> name -> (mean, bound), corpus rate; beta-binomial priors level by level, in plain Python."""
+    import re
+
+    def level(groups):
+        big = [(n, s) for n, s in groups.values() if n]
+        N, S = sum(n for n, _ in big), sum(s for _, s in big)
+        p = S / N
+        v = sum(s * s / n for n, s in big) / N - p * p - p * (1 - p) * len(big) / N
+        return round(p, 6), round(max(1.0, min(1000.0, p * (1 - p) / v - 1)) if v > 0 else 1000.0, 3)
+
+    def summed(key):
+        out = {}
+        for h, (n, s) in hosts.items():
+            a, b = out.get(key(h), (0, 0))
+            out[key(h)] = (a + n, b + s)
+        return out
+
+    suffix = lambda h: h.rpartition(".")[2]
+    domain = lambda h: re.search(r"[^.]+\.[^.]+$", h)[0]
+    xs, ds = summed(suffix), summed(domain)
+    (p, kx), (_, kd), (corpus, kh) = level(xs), level(ds), level(hosts)
+    mx = {k: (s + kx * p) / (n + kx) for k, (n, s) in xs.items()}
+    md = {k: (s + kd * mx[suffix(k)]) / (n + kd) for k, (n, s) in ds.items()}
+    out = {}
+    for h, (n, s) in hosts.items():
+        m = (s + kh * md[domain(h)]) / (n + kh)
+        out[h] = (m, m + z * (m * (1 - m) / (n + kh + 1)) ** 0.5)
+    return out, corpus
+
+
+def test_reputation_equals_plain_beta_binomial(spark):
+    """Hosts that are blocked, and hosts of as bad a rate that few pages or a good domain save."""
+    from plumbline.llm import url_filter as U
+
+    hosts = {"bad.spam.com": (60, 12), "few.spam.com": (2, 0), "fine.good.com": (300, 297), "new.good.com": (2, 1), "a.plain.org": (80, 76), "b.plain.org": (50, 47), "none.plain.org": (0, 0), "c.other.net": (40, 39)}
+    rows = [(h, int(i < s)) for h, (n, s) in hosts.items() for i in range(n)] + [("none.plain.org", None)] * 3
+    got = {r["host"]: r for r in U.reputation(spark.createDataFrame(rows, "host string, good long")).collect()}
+    want, corpus = plain_reputation(hosts)
+    for h, (mean, bound) in want.items():
+        assert got[h]["n"] == hosts[h][0] and abs(got[h]["mean"] - mean) < 2e-6 and abs(got[h]["bound"] - bound) < 2e-6 and got[h]["corpus"] == corpus
+    blocked = {h for h in hosts if got[h]["bound"] < corpus}
+    assert "bad.spam.com" in blocked and not blocked & {"new.good.com", "none.plain.org", "fine.good.com", "a.plain.org"}
+
+
+def test_page_outcomes(spark):
+    from pyspark.sql import functions as F
+
+    from plumbline.llm import url_filter as U
+
+    words = "word " * 30
+    html = [f"<body>{words}</body>", f"<script>{words}</script><style>{words}</style><!-- {words} --><p title='{words}'>few", f"<nav>{words}</nav><article><p>few</article>", f"<nav>x</nav><ARTICLE class=a><p>{words}</ARTICLE>", "", None]
+    d = spark.createDataFrame(list(enumerate(html)), "i int, html string")
+    assert [r["good"] for r in d.select("i", U.outcome(F.col("html")).alias("good")).orderBy("i").collect()] == [1, 0, 0, 1, 0, None]
 
 
 def plain_fences(rows, least):
