@@ -247,19 +247,21 @@ def _components(reps: DataFrame, docs: DataFrame, size: int, percent: int, same:
     ids = members.select("id").distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
+    # texts that share no bucket are in no pair: their registers stay out of every join below
+    shared = cut(reps.join(ids, "id", "left_semi"), "near-shared")
     sets = cut(full_sets(texts.join(ids, "id", "left_semi"), size), "near-sets")
     link = 100 * F.col("common") >= percent * F.col("total")
     # an id with several rows has several sets: each pair of them counts
     confirmed = lambda p: _confirmed(p, sets).where(link).select("a", "b").distinct()
     first = members.where("id != hub").groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
-    links = cut(confirmed(_estimated(first, reps, least)).unionByName(same), "near-links")
+    links = cut(confirmed(_estimated(first, shared, least)).unionByName(same), "near-links")
     labels = connected(links)
-    more = cut(confirmed(cut(_residual(members, labels, reps, least), "near-pairs")), "near-links")
+    more = cut(confirmed(cut(_residual(members, labels, shared, least), "near-pairs")), "near-links")
     if more.isEmpty():
-        release(members, sets, links, more)
+        release(members, shared, sets, links, more)
         return labels
     out = connected(links.unionByName(more))
-    release(members, sets, links, more)
+    release(members, shared, sets, links, more)
     return out
 
 
