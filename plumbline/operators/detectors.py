@@ -235,11 +235,11 @@ DETECTORS: list[Detector] = [
 WORDED = {**{u: 0.85 for u in VISIBLE}, "eml_text": 0.85, "image_text": 0.85, "pdf_span": 0.8}
 
 
-def findings(units: DataFrame) -> DataFrame:
+def findings(units: DataFrame, detectors: list[Detector] | None = None) -> DataFrame:
     """units(file_id, kind, unit, ord, loc, text, a) -> one row a finding, trig the place of its detector."""
     kind = "struct<mechanism:string,confidence:double,tier_override:int,severity_override:double,concealed:string,payload:string,trig:int>"
     by: dict[str, list[tuple[int, Detector]]] = {}
-    for i, d in enumerate(DETECTORS):
+    for i, d in enumerate(DETECTORS if detectors is None else detectors):
         by.setdefault(d.unit, []).append((i, d))
 
     def row(i: int, d: Detector) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -116,16 +117,18 @@ def stems(files: DataFrame, findings: DataFrame, key: str = "file_id") -> DataFr
     return j.withColumn("undeclared", ((F.col("subtitle") + F.col("lyric")) > 0) & ~F.col("_declared")).drop("_declared")
 
 
-def stem_findings(files: DataFrame, findings: DataFrame, key: str = "file_id") -> DataFrame:
+def stem_findings(files: DataFrame, findings: DataFrame, key: str = "file_id", more: Iterable[Callable[[DataFrame], DataFrame]] = ()) -> DataFrame:
     """Findings across the stems of each file: an inventory for every file, and text that its metadata keeps silent about.
 
-    They are asked for, not part of a scan."""
+    They are asked for, not part of a scan.  ``more``: rules of users, from the counts of ``stems`` to rows of the key, kind,
+    mechanism, confidence and concealed."""
     s = stems(files, findings, key)
     names = sorted(c for c in s.columns if c not in (key, "kind", "undeclared"))
     counts = F.array_join(F.array_compact(F.array(*[F.when(F.col(c) > 0, F.concat(F.lit(f"{c}="), F.col(c).cast("string"))) for c in names])), ", ")
     one = lambda m, c, text: F.struct(F.lit(m).alias("mechanism"), F.lit(c).alias("confidence"), text.alias("concealed"))
     both = F.array(F.when(F.col("undeclared"), one("cross_stem_undeclared_text", 0.85, counts)), one("cross_stem_inventory", 1.0, counts))
-    return s.select(key, "kind", F.inline(F.array_compact(both))).withColumn("location", F.col(key).cast("string"))
+    own = s.select(key, "kind", F.inline(F.array_compact(both)))
+    return reduce(lambda a, rule: a.unionByName(rule(s)), more, own).withColumn("location", F.col(key).cast("string"))
 
 
 def early_exit(findings: DataFrame, key: str = "file_id") -> DataFrame:

@@ -11,18 +11,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..errors import ModeError
 from ..functions.mechanisms import MECHANISMS, with_dimension
+from ..limits import DEFAULT, Limits
 from ..operators import scoring
 from ..operators.detectors import DETECTORS, findings
 from ..operators.overlap import overlapping
+from ..operators.registry import Registry
 from ..operators.routing import extension, other_office, route
 from ..sources import binary_formats as B
 from ..sources import text_formats as X
 
 UNITS = "file_id string, kind string, mismatch boolean, ord int, unit string, loc string, text string, a map<string,string>"
-MAX_FILE = 256 << 20
-#: Attachments within attachments that are scanned; deeper ones are reported as limited.
-MAX_NESTED = 2
 #: Analyzer of a unit kind, and the order in which analyzers report.
 ANALYZERS = ["pdf_text", "pdf_objects", "text", "json", "image", "svg", "docx", "html", "xlsx", "pptx", "eml", "csv", "file", "video", "audio"]
 
@@ -34,14 +34,14 @@ def analyzer_of(unit: str) -> str:
     return {"pdf": "pdf_objects", "line": "text", "png": "image", "jpeg": "image", "trailing": "image", "lsb": "image", "image": "image", "subtitle": "video", "cover": "video", "scan": "file"}.get(head, head)
 
 
-def units_of(raw: bytes, name: str, nested: int = 0):
+def units_of(raw: bytes, name: str, nested: int = 0, limits: Limits = DEFAULT):
     """(kind, mismatch, units) of one file; attachments and cover pictures are scanned in place."""
     kind, _, mismatch = route(raw, name)
     out = [("file", name, "", {"kind": kind, "ext": extension(name), "length": len(raw), "mismatch": mismatch, "other_office": other_office(raw, kind)})]
-    if len(raw) > MAX_FILE:
+    if limits.over("file_bytes", len(raw)):
         return kind, mismatch, [*out, ("scan_limited", name, "file size", {})]
     try:
-        out += list(_parsed(raw, kind, nested))
+        out += list(_parsed(raw, kind, nested, limits))
     except Exception as e:  # whatever a broken file does to a parser is a finding, not a failure
         out.append(("scan_error", name, f"{type(e).__name__}: {e}"[:240], {}))
     return kind, mismatch, out
@@ -53,7 +53,7 @@ def unread(name: str, length: int):
     return kind, False, [("file", name, "", {"kind": kind, "ext": extension(name), "length": length, "mismatch": False, "other_office": False}), ("scan_limited", name, "file size", {})]
 
 
-def _parsed(raw: bytes, kind: str, nested: int):
+def _parsed(raw: bytes, kind: str, nested: int, limits: Limits):
     text = lambda: raw.decode("utf-8", "replace")
     if kind in ("markdown", "code"):
         yield from X.lines(text())
@@ -63,11 +63,11 @@ def _parsed(raw: bytes, kind: str, nested: int):
     elif kind == "json":
         yield from X.json_file(raw)
     elif kind == "csv":
-        yield from X.table(raw)
+        yield from X.table(raw, limits)
     elif kind == "eml":
-        for u in X.mail(raw):
+        for u in X.mail(raw, limits=limits):
             if u[0] == "attachment":
-                yield from _inner(u[3]["bytes"], u[1], nested, "")
+                yield from _inner(u[3]["bytes"], u[1], nested, "", limits)
             else:
                 yield u
     elif kind in ("docx", "xlsx", "pptx"):
@@ -76,13 +76,13 @@ def _parsed(raw: bytes, kind: str, nested: int):
         yield from getattr(B, kind)(raw)
     elif kind in ("mp4", "mov", "m4a", "mkv", "webm"):
         for u in B.video(raw):
-            yield from _inner(u[3]["bytes"], u[1], nested, "video") if u[0] == "cover" else [u]
+            yield from _inner(u[3]["bytes"], u[1], nested, "video", limits) if u[0] == "cover" else [u]
     elif kind in ("mp3", "wav", "flac", "ogg"):
         for u in B.audio(raw):
             if u[0] == "audio_picture":
                 data = u[3]["bytes"]
                 if data[:3] == b"\xff\xd8\xff" or data[:4] == b"\x89PNG":
-                    yield from _inner(data, u[1], nested, "audio")
+                    yield from _inner(data, u[1], nested, "audio", limits)
                 elif data:
                     yield "audio_foreign", u[1], B.foreign(data), {}
             else:
@@ -91,17 +91,17 @@ def _parsed(raw: bytes, kind: str, nested: int):
         yield from B.pdf(raw)
 
 
-def _inner(raw: bytes, name: str, nested: int, parent: str):
-    if nested >= MAX_NESTED:
+def _inner(raw: bytes, name: str, nested: int, parent: str, limits: Limits = DEFAULT):
+    if limits.over("nested", nested + 1):
         yield "scan_limited", name, "nesting", {"parent": parent}
         return
-    _, _, units = units_of(raw, name, nested + 1)
+    _, _, units = units_of(raw, name, nested + 1, limits)
     for unit, loc, text, a in units:
         if unit != "file":
             yield unit, f"{name} > {loc}", text, {**a, "parent": parent}
 
 
-def decompose(files: DataFrame) -> DataFrame:
+def decompose(files: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """files(file_id, content) -> units; file_id ends in the file's name.
 
     Where there is a column ``length``, a file whose content was not read (null) is limited, not empty."""
@@ -112,7 +112,7 @@ def decompose(files: DataFrame) -> DataFrame:
                 part = b.slice(at, 16)
                 cols: list[list] = [[] for _ in range(8)]
                 for file_id, raw, length in zip(*(part.column(c).to_pylist() for c in ("file_id", "content", "length")), strict=True):
-                    kind, mismatch, units = units_of(raw or b"", file_id or "") if raw is not None or not length else unread(file_id or "", length)
+                    kind, mismatch, units = units_of(raw or b"", file_id or "", limits=limits) if raw is not None or not length else unread(file_id or "", length)
                     for i, (unit, loc, text, a) in enumerate(units):
                         plain = text.encode("utf-8", "replace").decode("utf-8")
                         attrs = [(k, str(v).lower() if isinstance(v, bool) else str(v)) for k, v in a.items() if not isinstance(v, bytes)]
@@ -136,8 +136,8 @@ class Scan:
     gate: DataFrame
     held: tuple[DataFrame, ...] = ()
 
-    def stem_findings(self) -> DataFrame:
-        return with_dimension(scoring.stem_findings(self.reports, self.findings))
+    def stem_findings(self, more=()) -> DataFrame:
+        return with_dimension(scoring.stem_findings(self.reports, self.findings, more=more))
 
     def release(self) -> None:
         """Give back the blocks that the scan's results are read from; they are computed anew if read again."""
@@ -145,7 +145,7 @@ class Scan:
             d.unpersist()
 
 
-def read_files(spark: SparkSession, path: str, max_size: int = MAX_FILE) -> DataFrame:
+def read_files(spark: SparkSession, path: str, max_size: int = DEFAULT.file_bytes) -> DataFrame:
     """A folder of files with their lengths; those larger than ``max_size`` have null content, which is never read."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.col("path").alias("file_id")
@@ -153,24 +153,28 @@ def read_files(spark: SparkSession, path: str, max_size: int = MAX_FILE) -> Data
     return small.unionByName(f.where(F.col("length") > max_size).select(name, F.lit(None).cast("binary").alias("content"), "length"))
 
 
-def ranked(found: DataFrame) -> DataFrame:
+def ranked(found: DataFrame, rules: Registry | None = None) -> DataFrame:
     """findings with their analyzer and its rank: the dearest of its mechanisms' cost classes, then the order of analyzers."""
-    classes = {m[0]: "ABCD".index(m[4]) for m in MECHANISMS}
-    units = sorted({d.unit for d in DETECTORS} | {"pdf_overlap", "correlation"})
+    detectors = DETECTORS if rules is None else rules.detectors
+    classes = {m[0]: "ABCD".index(m[4]) for m in (MECHANISMS if rules is None else rules.mechanisms.values())}
+    units = sorted({d.unit for d in detectors} | {"pdf_overlap", "correlation"})
     which = F.create_map(*[x for u in units for x in (F.lit(u), F.lit(analyzer_of(u)))])
     cost: dict[str, int] = {}
-    for d in DETECTORS:
+    for d in detectors:
         cost[analyzer_of(d.unit)] = max(cost.get(analyzer_of(d.unit), 0), classes[d.mechanism])
     f = found.withColumn("analyzer", F.coalesce(which[F.col("unit")], F.lit("file")))
     return f.withColumn("rank", F.coalesce(F.create_map(*[x for i, a in enumerate(ANALYZERS) for x in (F.lit(a), F.lit(i + 100 * cost.get(a, 0)))])[F.col("analyzer")], F.lit(99)))
 
 
-def scan(files: DataFrame, mode: str = "forensic") -> Scan:
+def scan(files: DataFrame, mode: str = "forensic", limits: Limits = DEFAULT, rules: Registry | None = None) -> Scan:
+    """``rules``: detectors and mechanisms in place of the library's own; words and overlaps are looked at all the same."""
     if mode not in ("forensic", "production"):
-        raise ValueError(f"unknown mode {mode!r}")
-    units = decompose(files).persist()
+        raise ModeError(f"unknown mode {mode!r}")
+    rules = Registry() if rules is None else rules
+    known = list(rules.mechanisms.values())
+    units = decompose(files, limits).persist()
     # findings are few and narrow: the detectors run once for scores, gate and both correlations
-    found = with_dimension(ranked(findings(units).unionByName(overlapping(units)))).persist()
+    found = with_dimension(ranked(findings(units, rules.detectors).unionByName(overlapping(units)), rules), known).persist()
     held = (units, found)
     if mode == "production":
         found = scoring.early_exit(found)
@@ -178,7 +182,7 @@ def scan(files: DataFrame, mode: str = "forensic") -> Scan:
     pairs = scoring.correlate(found.where("kind <> 'pdf'"))
     same = pairs.join(units.where("unit = 'file'").select("file_id", "kind"), "file_id")
     extra = same.select("file_id", "kind", F.lit("correlation").alias("unit"), F.lit(1 << 30).alias("ord"), F.col("fingerprint").alias("location"), F.lit("coordinated_concealment").alias("mechanism"), "confidence", F.col("tier").alias("tier_override"), F.lit(None).cast("double").alias("severity_override"), F.col("payload").alias("concealed"), F.lit(None).cast("string").alias("payload"), F.lit(950).alias("trig"))
-    found = found.unionByName(with_dimension(ranked(extra)))
+    found = found.unionByName(with_dimension(ranked(extra, rules), known))
     base = units.where("unit = 'file'").groupBy("file_id", "kind").agg(F.count("*").alias("_n")).drop("_n")
     broken = units.where("unit IN ('scan_error', 'scan_limited')").select("file_id").distinct().withColumn("_broken", F.lit(True))
     base = base.join(broken, "file_id", "left").select("file_id", "kind", (F.coalesce("_broken", F.lit(False)) | (F.col("kind") == "unknown")).alias("incomplete"))
@@ -186,7 +190,3 @@ def scan(files: DataFrame, mode: str = "forensic") -> Scan:
     rep = scoring.reports(base, found)
     cross = scoring.correlate(found.where("kind <> 'pdf'"), within=None)
     return Scan(found, rep, cross, scoring.cross_files(found.where("kind <> 'pdf'"), cross), scoring.gate(rep, found), held)
-
-
-def scan_path(spark: SparkSession, path: str, mode: str = "forensic") -> Scan:
-    return scan(read_files(spark, path), mode)

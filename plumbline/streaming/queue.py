@@ -79,3 +79,14 @@ def claimable(changes: DataFrame, now) -> DataFrame:
     """The queued job that is due soonest at ``now``: one row or none."""
     last = changes.groupBy("job_id").agg(F.max_by(F.struct("status", "next_at"), "attempt").alias("s"))
     return last.where((F.col("s.status") == "queued") & (F.col("s.next_at") <= F.lit(now))).orderBy("s.next_at", "job_id").limit(1).select("job_id", F.col("s.next_at").alias("next_at"))
+
+
+def recent(changes: DataFrame, n: int = 20) -> DataFrame:
+    """The latest ``n`` changes of all jobs, newest first: a top-k, each task keeps n rows."""
+    return changes.orderBy(F.desc("at"), F.desc("job_id"), F.desc("attempt")).limit(n)
+
+
+def next_due(changes: DataFrame) -> DataFrame:
+    """next_at: when the soonest of the queued jobs is due, for one who waits; null where none is queued."""
+    last = changes.groupBy("job_id").agg(F.max_by(F.struct("status", "next_at"), "attempt").alias("s"))
+    return last.agg(F.min(F.when(F.col("s.status") == "queued", F.col("s.next_at"))).alias("next_at"))

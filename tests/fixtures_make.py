@@ -261,3 +261,30 @@ FILES: dict[str, tuple[bytes, set[str]]] = {
     "strange.bin": (bytes(range(64)), {"unknown_format", "format_routing_divergence"}),
     "tiny.txt": (b"short", {"format_routing_divergence"}),
 }
+
+STYLES = f'<styleSheet {S}><fonts><font><sz val="11"/></font><font><sz val="3"/></font></fonts><cellXfs><xf fontId="0"/><xf fontId="1"/></cellXfs></styleSheet>'
+NOTE = "a remark that no one reads on the page"
+MANY = bytes(i * 7 % 251 + 1 for i in range(251))
+
+FILES |= {
+    "edge.docx": (docx(**{"word|header1.xml": f'<w:hdr {W}><w:p><w:r><w:rPr><w:color w:val="FFFFFF"/></w:rPr><w:t>white</w:t></w:r></w:p></w:hdr>'}), {"docx_header_footer_payload"}),
+    "small.xlsx": (xlsx('<c r="A1" s="1" t="inlineStr"><is><t>small</t></is></c>', more={"xl/styles.xml": STYLES}), {"xlsx_microscopic_font"}),
+    "macro.xlsx": (xlsx(more={"xl/vbaProject.bin": "x"}), {"xlsx_vba_macros"}),
+    "embedded.xlsx": (xlsx(more={"xl/embeddings/o.bin": "x"}), {"xlsx_embedded_object"}),
+    "revised.xlsx": (xlsx(more={"xl/revisions/revisionHeaders.xml": "<x/>"}), {"xlsx_revision_history"}),
+    "comment.xlsx": (xlsx(more={"xl/comments1.xml": f'<comments {S}><commentList><comment ref="A1"><text><t>{NOTE}</t></text></comment></commentList></comments>'}), {"xlsx_comment_payload"}),
+    "macro.pptx": (pptx({"ppt/vbaProject.bin": "x"}), {"pptx_vba_macros"}),
+    "embedded.pptx": (pptx({"ppt/embeddings/o.bin": "x"}), {"pptx_embedded_object"}),
+    "link.pptx": (pptx({"ppt/slides/_rels/slide1.xml.rels": rel("https://x.example", external=True)}), {"pptx_external_link"}),
+    "macro.eml": (multipart("Content-Type: text/plain\r\n\r\nHi", attachment("note.docm", "words that are no office file")), {"eml_attachment_present", "eml_macro_attachment"}),
+    "nested.json": (('{"a":' * 40 + '"' + "x" * 300 + '"' + "}" * 40).encode(), {"excessive_nesting", "json_nested_payload"}),
+    "broken.json": (b'{"a": 1, "b": "words that never end', {"scan_error"}),
+    "long.csv": (("name,note\n" + "".join(f"item{i},fine words in a short remark of {i} parts and a few more to be free text\n" for i in range(6)) + "item9," + "many words " * 80 + "\n").encode(), {"csv_oversized_freetext_cell"}),
+    "lines.csv": ((CSV + 'a,1,"' + "one line of words\n" * 20 + '"\n').encode(), {"csv_quoted_newline_payload", "csv_quoting_anomaly"}),
+    "beside.csv": ((CSV + f"a{ZW}b,1," + "words beside a marked cell " * 3 + "\n").encode(), {"csv_payload_in_adjacent_cell", "zero_width_chars", "csv_zero_width_payload", "csv_encoding_divergence"}),
+    "chunktext.png": (png((b"tEXt", b"Comment\0" + b"word " * 300)), {"image_text_metadata", "image_png_text_chunk_payload"}),
+    "private.png": (png((b"prVt", b"a readable text in a private chunk of the file")), {"suspicious_image_chunk", "image_png_private_chunk"}),
+    "entropy.png": (png((b"tEXt", b"Comment\0" + MANY * 2)), {"high_entropy_metadata", "image_text_metadata"}),
+    "oversized.png": (png((b"tEXt", b"Comment\0" + b"word " * 14000)), {"oversized_metadata", "image_text_metadata", "image_png_text_chunk_payload"}),
+    "annot.pdf": (pdf(objects="8 0 obj\n<< /Type /Annot /Subtype /FileAttachment >>\nendobj"), {"file_attachment_annot"}),
+}

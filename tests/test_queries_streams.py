@@ -7,6 +7,8 @@ import duckdb
 import pandas as pd
 import pytest
 
+from .streams import drained
+
 SF = "/root/testdata/sf0.001"
 NAMES = ["q_unicode_units", "q_homoglyph_words", "q_score_verdict", "q_rollup", "q_html_meta", "q_html_external_refs", "q_corr_cross", "q_csv_type_drift", "q_csv_adjacent", "q_delim_infer", "q_overlap_pairs", "q_jaccard_divergence", "q_claim", "q_session", "q_routing"]
 
@@ -50,8 +52,8 @@ def test_queue_stream_equals_replay(spark, tmp_path):
     jobs = S.jobs(spark, SF).select("job_id", "at", "code")
     jobs.repartition(1).sortWithinPartitions("at").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(jobs.schema).parquet(str(tmp_path / "in"))
-    q = Q.transitions(stream).writeStream.format("memory").queryName("moves").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q = Q.transitions(stream).writeStream.format("memory").queryName("moves").option("checkpointLocation", str(tmp_path / "ck")).start()
+    drained(q, jobs.count())
     key = lambda rows: sorted((r["job_id"], r["attempt"], r["status"], str(r["next_at"])) for r in rows)
     want = Q.replay(jobs)
     assert key(spark.table("moves").collect()) == key(want.collect())

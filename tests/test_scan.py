@@ -103,7 +103,8 @@ def test_quoted_newlines_and_comments():
 
 
 def test_deeper_attachments_are_reported():
-    from plumbline.plans.scan import MAX_NESTED, _inner
+    from plumbline.limits import DEFAULT
+    from plumbline.plans.scan import _inner
 
-    assert [u[:3] for u in _inner(b"words", "x.md", MAX_NESTED, "")] == [("scan_limited", "x.md", "nesting")]
-    assert [u[0] for u in _inner(b"words", "x.md", MAX_NESTED - 1, "")] == ["line"]
+    assert [u[:3] for u in _inner(b"words", "x.md", DEFAULT.nested, "")] == [("scan_limited", "x.md", "nesting")]
+    assert [u[0] for u in _inner(b"words", "x.md", DEFAULT.nested - 1, "")] == ["line"]
