@@ -535,7 +535,7 @@ def q_json_dup(spark, sf):
     return _json_units(spark, sf, text, "json_twice").select("event_id", F.col("loc").alias("path"), F.col("text").alias("key"))
 
 
-# ---- whole scans: documents, pages, conversations and JSON through the parsers (rows only)
+# ---- whole scans: documents, pages, conversations and JSON through the parsers; SQL from what was planted and from the texts
 
 
 def _scanned(spark, sf, files):
@@ -544,26 +544,107 @@ def _scanned(spark, sf, files):
     return scan(files).reports.select("file_id", "kind", F.round("score", 3).alias("score"), "n_findings", "verdict")
 
 
-@query()
+def _scan_sql(ctes: str, files: str, hits: list[str]) -> str:
+    """Reports by SQL from files(file_id, kind, broken) and hits, each (file_id, mechanism, confidence)."""
+    return f"""WITH {ctes}, {DIM}, files AS ({files}), hits(file_id, mechanism, confidence) AS ({" UNION ALL ".join(hits)}),
+lost AS (SELECT file_id, count(*) AS n, sum(CASE WHEN tier > 0 THEN severity::DECIMAL(10,6) * confidence::DECIMAL(10,6) ELSE 0 END)::DOUBLE AS lost, bool_or(tier = 0) AS t0, bool_or(tier = 1) AS t1 FROM hits JOIN dim USING (mechanism) GROUP BY file_id),
+rep AS (SELECT file_id, kind, broken OR coalesce(t0, false) AS held, coalesce(t1, false) AS t1, coalesce(n, 0) AS n_findings, round(least(CASE WHEN broken THEN 0.5 ELSE 1 END, greatest(0, 1 - coalesce(lost, 0)))::DOUBLE, 3) AS score FROM files LEFT JOIN lost USING (file_id))
+SELECT file_id, kind, score, n_findings, CASE WHEN held THEN 'withheld' WHEN score >= 1 AND n_findings = 0 THEN 'sound' WHEN score < 0.3 AND t1 THEN 'severe' WHEN score < 0.7 THEN 'concealed' ELSE 'suspicious' END AS verdict FROM rep"""
+
+
+def _hit(files: str, mechanism: str, confidence: float, when: str = "true", file_id: str = "file_id") -> str:
+    return f"SELECT {file_id}, '{mechanism}', {confidence} FROM {files} WHERE {when}"
+
+
+@query(_scan_sql(f"{DOCS}, {LINES}, {WORDS}", "SELECT doc_id || '.md' AS file_id, 'markdown' AS kind, false AS broken FROM docs", [
+    _hit("lines", "zero_width_chars", 0.9, f"regexp_matches(line, '{ZW}')", "doc_id || '.md'"),
+    _hit("lines", "tag_chars", 1.0, f"regexp_matches(line, '{TAG}')", "doc_id || '.md'"),
+    _hit("lines", "bidi_control", 0.9, f"regexp_matches(line, '{BIDI}')", "doc_id || '.md'"),
+    _hit("words", "homoglyph", 0.85, file_id="doc_id || '.md'"),
+    _hit("docs", "format_routing_divergence", 1.0, "coalesce(strlen(text), 0) < 16", "doc_id || '.md'"),
+]))
 def q_scan_documents(spark, sf):
     return _scanned(spark, sf, S.documents(spark, sf).select(F.concat("doc_id", F.lit(".md")).alias("file_id"), F.col("text").cast("binary").alias("content")))
 
 
-@query()
+def _page_hits() -> list[str]:
+    """What the queries over single mechanisms find, each by its own SQL, and hidden text and long data attributes."""
+    page = "page_id || '.html'"
+    hidden = r"""(?is)<[a-z]+\b[^>]*\sstyle="[^"]*display\s*:\s*none\b[^"]*"[^>]*>\s*[^<\s]"""
+    data = r"""(?i)<[a-z][^>]*?\sdata-[a-z0-9-]+="[^"]{64,}\""""
+    times = lambda n: f"generate_series(1, {n})"
+    one = {"html_comment_payload": "q_html_comment", "html_noscript_payload": "q_html_noscript", "html_template_payload": "q_html_template", "html_meta_payload": "q_html_meta", "html_style_content_payload": "q_html_style", "html_title_text_divergence": "q_html_title"}
+    return [
+        *(_hit(f"({SQL[q]})", m, 1.0, file_id=page) for m, q in one.items()),
+        f"SELECT {page}, 'html_inline_script', 1.0 FROM (SELECT page_id, unnest({times('n_bodies + n_handlers')}) FROM ({SQL['q_html_inline_script']}))",
+        f"SELECT {page}, 'html_external_reference', 0.9 FROM (SELECT page_id, unnest({times('n')}) FROM ({SQL['q_html_external_refs']}))",
+        f"SELECT {page}, 'html_hidden_text', 1.0 FROM (SELECT page_id, unnest(regexp_extract_all(html, '{hidden}')) FROM pgs)",
+        f"SELECT {page}, 'html_data_attribute', 0.8 FROM (SELECT page_id, unnest(regexp_extract_all(html, '{data}')) FROM pgs)",
+    ]
+
+
+@query(_scan_sql(PAGES, "SELECT page_id || '.html' AS file_id, 'html' AS kind, false AS broken FROM pgs", _page_hits()))
 def q_scan_pages(spark, sf):
     return _scanned(spark, sf, S.pages(spark, sf).select(F.concat("page_id", F.lit(".html")).alias("file_id"), F.col("html").cast("binary").alias("content")))
 
 
-@query()
+def _event(mechanism: str, confidence: float, when: str, read: bool = True) -> str:
+    """``read``: found in values, so not where a comment keeps the file from being read."""
+    return _hit("events", mechanism, confidence, f"{when} AND event_id % 13 > 0" if read else when, "event_id || '.json'")
+
+
+@query(_scan_sql("none AS (SELECT 1)", "SELECT event_id || '.json' AS file_id, 'json' AS kind, event_id % 13 = 0 AS broken FROM events", [
+    _event("duplicate_keys", 1.0, "event_id % 2 = 0"),
+    _event("zero_width_chars", 0.9, "event_id % 3 = 0"),
+    _event("excessive_nesting", 0.9, "event_id % 5 = 0"),
+    _event("json_trailing_payload", 0.95, "event_id % 7 = 0"),
+    _event("json_prototype_pollution_key", 0.95, "event_id % 11 = 0"),
+    _event("json_comment_anomaly", 1.0, "event_id % 13 = 0", read=False),
+    _event("scan_error", 1.0, "event_id % 13 = 0", read=False),
+    _event("json_unicode_escape_payload", 0.95, "event_id % 17 = 0", read=False),
+    _event("zero_width_chars", 0.9, "event_id % 17 = 0"),
+]))
 def q_scan_json(spark, sf):
-    e = S.table(spark, sf, "events").select(F.concat("event_id", F.lit(".json")).alias("file_id"), F.concat(F.lit('{"id": '), "event_id", F.lit(', "id": 0, "props": '), "props", F.lit("}")).cast("binary").alias("content"))
+    """Events as files, with a key twice, hidden characters, depth, a rest, a reserved key, a comment and an escape planted by residue."""
+    at = lambda m, then, other="": F.when(F.col("event_id") % m == 0, F.lit(then)).otherwise(F.lit(other))
+    parts = [
+        F.lit('{"id": '), "event_id", F.lit(", "), at(2, '"id": 0, '), at(11, '"__proto__": 1, '), at(13, "/* kept back */ "), at(17, '"x": "a\\u200bb", '),
+        at(3, '"note": "a​b", ', '"note": "plain", '), F.lit('"props": '), at(5, '{"a": ' * 40), "props", at(5, "}" * 40), F.lit("}"), at(7, ' {"more": 1}'),
+    ]
+    e = S.table(spark, sf, "events").select(F.concat("event_id", F.lit(".json")).alias("file_id"), F.concat(*parts).cast("binary").alias("content"))
     return _scanned(spark, sf, e)
 
 
-@query()
+def _talk(mechanism: str, confidence: float, when: str) -> str:
+    return _hit("(SELECT DISTINCT conv_id FROM conversations)", mechanism, confidence, when, "conv_id || '.eml'")
+
+
+@query(_scan_sql("none AS (SELECT 1)", "SELECT DISTINCT conv_id || '.eml' AS file_id, 'eml' AS kind, false AS broken FROM conversations", [
+    _talk("eml_from_replyto_mismatch", 0.9, "conv_id % 2 = 0"),
+    _talk("eml_returnpath_from_mismatch", 0.9, "conv_id % 3 = 0"),
+    _talk("eml_xheader_payload", 0.9, "conv_id % 4 = 0"),
+    _talk("eml_display_name_spoof", 0.9, "conv_id % 5 = 0"),
+    _talk("eml_received_chain_anomaly", 0.85, "conv_id % 6 = 0"),
+    _talk("eml_smuggled_header", 0.9, "conv_id % 7 = 0"),
+    _talk("eml_base64_text_part", 0.95, "conv_id % 8 = 0"),
+    _talk("zero_width_chars", 0.9, "conv_id % 9 = 0"),
+    _talk("eml_executable_attachment", 1.0, "conv_id % 10 = 0"),
+    _talk("eml_attachment_present", 1.0, "conv_id % 10 = 0"),
+    *(_hit("conversations", m, c, f"regexp_matches(text, '{p}')", "conv_id || '.eml'") for m, c, p in (("zero_width_chars", 0.9, ZW), ("tag_chars", 1.0, TAG), ("bidi_control", 0.9, BIDI))),
+]))
 def q_scan_mail(spark, sf):
-    """A message for each conversation, a part for each turn."""
-    part = F.concat(F.lit("--part0001\r\nContent-Type: text/plain; charset=utf-8\r\n\r\n"), "text", F.lit("\r\n"))
-    c = S.table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", part.alias("p")))), lambda x: x["p"]), "").alias("body"))
-    head = 'From: Ann <ann@example.org>\r\nReply-To: bob@other.example\r\nSubject: talk\r\nMIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary="part0001"\r\n\r\n'
-    return _scanned(spark, sf, c.select(F.concat("conv_id", F.lit(".eml")).alias("file_id"), F.concat(F.lit(head), "body", F.lit("--part0001--\r\n")).cast("binary").alias("content")))
+    """A message for each conversation, a part for each turn; headers and further parts planted by residue."""
+    at = lambda m, then, other="": F.when(F.col("conv_id") % m == 0, F.lit(then)).otherwise(F.lit(other))
+    part = lambda head: f"--part0001\r\nContent-Type: text/plain; charset=utf-8\r\n{head}\r\n"
+    turn = F.concat(F.lit(part("")), "text", F.lit("\r\n"))
+    c = S.table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", turn.alias("p")))), lambda x: x["p"]), "").alias("body"))
+    head = [
+        at(3, "Return-Path: <ann@third.example>\r\n"), at(6, "Received: from mx.third.example by mx.fourth.example\r\n"), at(5, "From: PayPal Support <ann@example.org>\r\n", "From: Ann <ann@example.org>\r\n"),
+        at(2, "Reply-To: bob@other.example\r\n", "Reply-To: ann@example.org\r\n"), at(7, "Subject: talk again\r\n"), at(4, f"X-Note: {'words ' * 30}\r\n"),
+        F.lit('Subject: talk\r\nMIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary="part0001"\r\n\r\n'),
+    ]
+    tail = [
+        at(8, part("Content-Transfer-Encoding: base64\r\n") + "aGVsbG8gdGhlcmU=\r\n"), at(9, part("") + "a​b\r\n"),
+        at(10, '--part0001\r\nContent-Type: application/octet-stream\r\nContent-Disposition: attachment; filename="a.exe"\r\n\r\nMZ\r\n'), F.lit("--part0001--\r\n"),
+    ]
+    return _scanned(spark, sf, c.select(F.concat("conv_id", F.lit(".eml")).alias("file_id"), F.concat(*head, "body", *tail).cast("binary").alias("content")))
