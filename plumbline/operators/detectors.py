@@ -200,7 +200,6 @@ DETECTORS: list[Detector] = [
     Detector("audio_container_anomaly", "audio_anomaly", "true", "CASE a['what'] WHEN 'tail' THEN 0.7 WHEN 'rest' THEN 0.9 ELSE 0.85 END"),
     Detector("audio_embedded_payload", "audio_foreign", "true", "CASE WHEN text <> '' THEN 0.95 ELSE 0.75 END"),
     Detector("audio_lsb_stego_candidate", "audio_lsb", f"{N('off')} < 0.02 AND {N('kinds')} > 32", "0.65"),
-    Detector("video_frame_stego_candidate", "cover_finding", "true", "0.9"),
     # PDF
     Detector("invisible_render_mode", "pdf_invisible", "true", f"CASE WHEN {T('drawn')} THEN 0.95 ELSE 0.6 END", f"CASE WHEN {T('drawn')} THEN NULL ELSE 3 END", f"CASE WHEN {T('drawn')} THEN NULL ELSE 0.05 END"),
     Detector("white_on_white_text", "pdf_span", f"{N('light')} >= 0.95 AND NOT {T('dark_behind')} AND btrim(text) <> ''", "0.9"),
@@ -234,6 +233,17 @@ DETECTORS: list[Detector] = [
 #: Units whose words are tested for confusable letters, with the confidence of a finding.
 WORDED = {**{u: 0.85 for u in VISIBLE}, "eml_text": 0.85, "image_text": 0.85, "pdf_span": 0.8}
 
+#: What a finding in a picture that a media file carries becomes: unit and mechanism, by the kind of the carrier.
+CARRIED = {"video": ("cover_finding", "video_frame_stego_candidate"), "audio": ("audio_picture", "audio_embedded_payload")}
+
+
+def carried(found: DataFrame) -> DataFrame:
+    """findings with ``parent``, the kind of the carrier: those of carried pictures are their carrier's, with its severity and tier."""
+    inside = F.col("parent").isin(*CARRIED) & ~F.col("unit").startswith("scan_")
+    of = lambda i: reduce(lambda c, kv: c.when(F.col("parent") == kv[0], kv[1][i]), CARRIED.items(), F.when(F.lit(False), ""))
+    new = {c: F.when(inside, of(i)).otherwise(F.col(c)) for i, c in enumerate(("unit", "mechanism"))}
+    return found.withColumns(new | {c: F.when(~inside, F.col(c)) for c in ("tier_override", "severity_override", "payload")}).drop("parent")
+
 
 def findings(units: DataFrame, detectors: list[Detector] | None = None) -> DataFrame:
     """units(file_id, kind, unit, ord, loc, text, a) -> one row a finding, trig the place of its detector."""
@@ -252,4 +262,4 @@ def findings(units: DataFrame, detectors: list[Detector] | None = None) -> DataF
     letters = F.transform(worded, lambda w: F.struct(F.lit("homoglyph").alias("mechanism"), conf.cast("double").alias("confidence"), F.lit(None).cast("int").alias("tier_override"), F.lit(None).cast("double").alias("severity_override"), w["recovered"].alias("concealed"), F.lit(None).cast("string").alias("payload"), F.lit(900).alias("trig")))
     empty = F.expr(f"cast(array() AS array<{kind}>)")
     both = F.concat(F.filter(F.coalesce(pick, empty), lambda x: x.isNotNull()), F.coalesce(letters, empty))
-    return u.select("file_id", "kind", "unit", "ord", F.col("loc").alias("location"), F.inline(both))
+    return carried(u.select("file_id", "kind", "unit", "ord", F.col("loc").alias("location"), F.coalesce(F.col("a")["parent"], F.lit("")).alias("parent"), F.inline(both)))

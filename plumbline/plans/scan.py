@@ -15,7 +15,7 @@ from ..errors import ModeError
 from ..functions.mechanisms import MECHANISMS, with_dimension
 from ..limits import DEFAULT, Limits
 from ..operators import scoring
-from ..operators.detectors import DETECTORS, findings
+from ..operators.detectors import CARRIED, DETECTORS, findings
 from ..operators.overlap import overlapping
 from ..operators.registry import Registry
 from ..operators.routing import extension, other_office, route
@@ -41,8 +41,9 @@ def units_of(raw: bytes, name: str, nested: int = 0, limits: Limits = DEFAULT):
     if limits.over("file_bytes", len(raw)):
         return kind, mismatch, [*out, ("scan_limited", name, "file size", {})]
     try:
-        out += list(_parsed(raw, kind, nested, limits))
-    except Exception as e:  # whatever a broken file does to a parser is a finding, not a failure
+        for u in _parsed(raw, kind, nested, limits):
+            out.append(u)
+    except Exception as e:  # whatever a broken file does to a parser is a finding beside those made before, not a failure
         out.append(("scan_error", name, f"{type(e).__name__}: {e}"[:240], {}))
     return kind, mismatch, out
 
@@ -98,7 +99,7 @@ def _inner(raw: bytes, name: str, nested: int, parent: str, limits: Limits = DEF
     _, _, units = units_of(raw, name, nested + 1, limits)
     for unit, loc, text, a in units:
         if unit != "file":
-            yield unit, f"{name} > {loc}", text, {**a, "parent": parent}
+            yield unit, f"{name} > {loc}", text, {**a, "parent": a.get("parent") or parent}
 
 
 def decompose(files: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
@@ -157,11 +158,11 @@ def ranked(found: DataFrame, rules: Registry | None = None) -> DataFrame:
     """findings with their analyzer and its rank: the dearest of its mechanisms' cost classes, then the order of analyzers."""
     detectors = DETECTORS if rules is None else rules.detectors
     classes = {m[0]: "ABCD".index(m[4]) for m in (MECHANISMS if rules is None else rules.mechanisms.values())}
-    units = sorted({d.unit for d in detectors} | {"pdf_overlap", "correlation"})
+    units = sorted({d.unit for d in detectors} | {u for u, _ in CARRIED.values()} | {"pdf_overlap", "correlation"})
     which = F.create_map(*[x for u in units for x in (F.lit(u), F.lit(analyzer_of(u)))])
     cost: dict[str, int] = {}
-    for d in detectors:
-        cost[analyzer_of(d.unit)] = max(cost.get(analyzer_of(d.unit), 0), classes[d.mechanism])
+    for unit, m in [*((d.unit, d.mechanism) for d in detectors), *CARRIED.values()]:
+        cost[analyzer_of(unit)] = max(cost.get(analyzer_of(unit), 0), classes.get(m, 0))
     f = found.withColumn("analyzer", F.coalesce(which[F.col("unit")], F.lit("file")))
     return f.withColumn("rank", F.coalesce(F.create_map(*[x for i, a in enumerate(ANALYZERS) for x in (F.lit(a), F.lit(i + 100 * cost.get(a, 0)))])[F.col("analyzer")], F.lit(99)))
 

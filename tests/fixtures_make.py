@@ -1,5 +1,6 @@
 """Small files of every kind, made here, with the exact set of mechanisms that each must give."""
 
+import base64
 import io
 import json
 import os
@@ -288,3 +289,30 @@ FILES |= {
     "oversized.png": (png((b"tEXt", b"Comment\0" + b"word " * 14000)), {"oversized_metadata", "image_text_metadata", "image_png_text_chunk_payload"}),
     "annot.pdf": (pdf(objects="8 0 obj\n<< /Type /Annot /Subtype /FileAttachment >>\nendobj"), {"file_attachment_annot"}),
 }
+
+CORE = '<cp:coreProperties xmlns:cp="http://x/core" xmlns:dc="http://x/dc"><dc:subject>{}</dc:subject></cp:coreProperties>'
+
+
+def tags(*items):
+    return mp4(box(b"moov", box(b"udta", box(b"meta", bytes(4) + box(b"ilst", b"".join(box(k, box(b"data", bytes(8) + v)) for k, v in items))))))
+
+
+VIDEO, AUDIO = {"video_stream_inventory"}, {"audio_stem_inventory"}
+
+FILES |= {
+    "meta.docx": (docx(**{"docProps|core.xml": CORE.format(NOTE)}), {"docx_metadata_payload"}),
+    "shown.docx": (docx(f"<w:r><w:t>{NOTE}</w:t></w:r>", **{"docProps|core.xml": CORE.format(NOTE)}), set()),
+    "meta.xlsx": (xlsx(more={"docProps/core.xml": CORE.format(NOTE)}), {"xlsx_metadata_payload"}),
+    "validated.xlsx": (xlsx(sheet='<dataValidations><dataValidation><formula1>INDIRECT("B1")</formula1></dataValidation></dataValidations>'), {"xlsx_data_validation_formula"}),
+    "revised.pptx": (pptx({"ppt/commentAuthors.xml": "<x/>"}), {"pptx_revision_history"}),
+    "large.csv": ((CSV + "a,1," + "x" * (1 << 20) + "\n").encode(), {"csv_oversized_field", "csv_oversized_freetext_cell"}),
+    "deep.eml": (multipart(attachment("a.eml", multipart(attachment("b.eml", multipart(attachment("c.eml", multipart(attachment("d.eml", multipart(attachment("e.eml", "From: a@b.example", "message/rfc822"), bound="f5").decode(), "message/rfc822"), bound="f4").decode(), "message/rfc822"), bound="f3").decode(), "message/rfc822"), bound="f2").decode(), "message/rfc822")), {"eml_attachment_present", "eml_nested_eml", "scan_limited", "eml_mime_boundary_anomaly"}),
+    "cipher.png": (png((b"tEXt", b"Comment\0" + MANY * 2 + b"QWxhZGRpbjpvcGVuIHNlc2FtZSBhbmQgc29tZSBtb3JlIGJ5dGVz")), {"generative_cipher_signature", "high_entropy_metadata", "image_text_metadata"}),
+    "tags.mp4": (tags((b"\xa9nam", f"A t{ZW}itle".encode())), VIDEO | {"video_metadata_suspicious"}),
+    "cover.mp4": (tags((b"covr", png())), VIDEO),
+    "hidingcover.mp4": (tags((b"covr", png((b"iTXt", b"Comment\0\0\0\0\0" + f"words {TAGGED}".encode()), end=b"more bytes"))), VIDEO | {"video_frame_stego_candidate"}),
+    "entropy.mp3": (id3((b"TXXX", b"\3key\0" + "".join(chr(33 + i * 37 % 90) for i in range(400)).encode())), AUDIO | {"audio_high_entropy_metadata"}),
+    "cover.mp3": (id3((b"APIC", b"\0image/png\0\3\0" + png())), AUDIO),
+    "hidingcover.mp3": (id3((b"APIC", b"\0image/png\0\3\0" + png((b"tEXt", b"Comment\0" + MAGIC_TEXT.encode()), end=b"more bytes"))), AUDIO | {"audio_embedded_payload"}),
+    "video.eml": (multipart("Content-Type: text/plain\r\n\r\nHi", "Content-Type: video/mp4\r\nContent-Transfer-Encoding: base64\r\nContent-Disposition: attachment; filename=\"a.mp4\"\r\n\r\n" + base64.encodebytes(tags((b"covr", png(end=b"more bytes")))).decode().replace("\n", "\r\n")), VIDEO | {"eml_attachment_present", "video_frame_stego_candidate"}),
+}

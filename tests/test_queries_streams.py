@@ -10,7 +10,7 @@ import pytest
 from .streams import drained
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["q_unicode_units", "q_homoglyph_words", "q_score_verdict", "q_rollup", "q_html_meta", "q_html_external_refs", "q_corr_cross", "q_csv_type_drift", "q_csv_adjacent", "q_delim_infer", "q_overlap_pairs", "q_jaccard_divergence", "q_claim", "q_session", "q_routing"]
+NAMES = ["q_unicode_units", "q_homoglyph_words", "q_score_verdict", "q_rollup", "q_html_meta", "q_html_external_refs", "q_corr_cross", "q_csv_type_drift", "q_csv_adjacent", "q_delim_infer", "q_overlap_pairs", "q_jaccard_divergence", "q_claim", "q_session", "q_routing", "q_scan_documents", "q_scan_pages", "q_scan_json", "q_scan_mail", "q_json_depth", "q_json_dup"]
 
 
 def plain(v):

@@ -61,9 +61,9 @@ def test_mechanism_dimension():
     names = [m[0] for m in MECHANISMS]
     assert len(names) == len(set(names)) == 159
     assert {d.mechanism for d in DETECTORS} <= set(names)
-    # two are reserved and never emitted; the rest come from grouped plans or words
+    # two are reserved and never emitted; the rest come from grouped plans, words or carried pictures
     silent = set(names) - {d.mechanism for d in DETECTORS}
-    assert silent == {"overlapping_text", "homoglyph", "coordinated_concealment", "cross_format_payload_match", "video_cross_stem_divergence", "audio_cross_stem_divergence", "cross_stem_inventory", "cross_stem_undeclared_text"}
+    assert silent == {"overlapping_text", "homoglyph", "coordinated_concealment", "cross_format_payload_match", "video_cross_stem_divergence", "audio_cross_stem_divergence", "cross_stem_inventory", "cross_stem_undeclared_text", "video_frame_stego_candidate"}
 
 
 def test_files_too_large_to_read_are_reported(spark, tmp_path):
@@ -108,3 +108,18 @@ def test_deeper_attachments_are_reported():
 
     assert [u[:3] for u in _inner(b"words", "x.md", DEFAULT.nested, "")] == [("scan_limited", "x.md", "nesting")]
     assert [u[0] for u in _inner(b"words", "x.md", DEFAULT.nested - 1, "")] == ["line"]
+
+
+def test_units_before_a_failure_are_kept(monkeypatch):
+    def broken(*_):
+        yield "line", "line 1", "words", {}
+        raise ValueError("no more")
+
+    monkeypatch.setattr(P, "_parsed", broken)
+    assert [u[:3] for u in P.units_of(b"some words of a file", "a.md")[2][1:]] == [("line", "line 1", "words"), ("scan_error", "a.md", "ValueError: no more")]
+
+
+def test_carried_pictures_are_their_carriers(result):
+    got = {(r["file_id"], r["unit"], r["mechanism"], r["severity"], r["tier"], r["confidence"]) for r in result["findings"] if r["mechanism"] in ("video_frame_stego_candidate", "audio_embedded_payload")}
+    assert ("hidingcover.mp4", "cover_finding", "video_frame_stego_candidate", 0.25, 2, 0.95) in got  # tag characters, told with the confidence of pictures
+    assert {x[0] for x in got if x[1] == "audio_picture"} == {"hidingcover.mp3"} and {x[3:5] for x in got if x[1] == "audio_picture"} == {(0.4, 2)}
