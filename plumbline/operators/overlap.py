@@ -26,9 +26,9 @@ def overlap_pairs(boxes: DataFrame, group: str, cell_w: float, cell_h: float, le
 
 
 def overlapping(units: DataFrame) -> DataFrame:
-    """Findings for overlapping spans of PDF pages."""
+    """Findings for overlapping spans of PDF pages; those outside their page are findings of their own."""
     n = lambda c: F.col("a")[c].cast("double")
-    spans = units.where("unit = 'pdf_span'").select(F.concat_ws("\x00", "file_id", F.col("a")["page"]).alias("page"), F.col("ord").alias("id"), n("x0").alias("x0"), n("y0").alias("y0"), n("x1").alias("x1"), n("y1").alias("y1"), "text")
+    spans = units.where("unit = 'pdf_span' AND a['outside'] = 'false'").select(F.concat_ws("\x00", "file_id", F.col("a")["page"]).alias("page"), F.col("ord").alias("id"), n("x0").alias("x0"), n("y0").alias("y0"), n("x1").alias("x1"), n("y1").alias("y1"), "text")
     p = overlap_pairs(spans, "page", 72.0, 14.0)
     return p.select(
         F.substring_index("page", "\x00", 1).alias("file_id"), F.lit("pdf").alias("kind"), F.lit("pdf_overlap").alias("unit"), F.col("i").cast("int").alias("ord"), F.concat(F.lit("spans "), "i", F.lit(","), "j").alias("location"),

@@ -22,6 +22,8 @@ from ..operators.routing import extension, other_office, route
 from ..sources import binary_formats as B
 from ..sources import text_formats as X
 
+#: Characters of units that a batch holds, and what a unit counts for beside its text.
+BATCH_CHARS, UNIT_CHARS = 4 << 20, 256
 UNITS = "file_id string, kind string, mismatch boolean, ord int, unit string, loc string, text string, a map<string,string>"
 #: Analyzer of a unit kind, and the order in which analyzers report.
 ANALYZERS = ["pdf_text", "pdf_objects", "text", "json", "image", "svg", "docx", "html", "xlsx", "pptx", "eml", "csv", "file", "video", "audio"]
@@ -107,20 +109,28 @@ def decompose(files: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
 
     Where there is a column ``length``, a file whose content was not read (null) is limited, not empty."""
 
+    kinds = (pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()))
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["file_id", "kind", "mismatch", "ord", "unit", "loc", "text", "a"])
+
     def run(batches):
+        # one file at a time is in Python; what is handed back at once is bounded by characters, not by files
+        rows, held = [], 0
         for b in batches:
-            for at in range(0, b.num_rows, 16):
-                part = b.slice(at, 16)
-                cols: list[list] = [[] for _ in range(8)]
-                for file_id, raw, length in zip(*(part.column(c).to_pylist() for c in ("file_id", "content", "length")), strict=True):
-                    kind, mismatch, units = units_of(raw or b"", file_id or "", limits=limits) if raw is not None or not length else unread(file_id or "", length)
-                    for i, (unit, loc, text, a) in enumerate(units):
-                        plain = text.encode("utf-8", "replace").decode("utf-8")
-                        attrs = [(k, str(v).lower() if isinstance(v, bool) else str(v)) for k, v in a.items() if not isinstance(v, bytes)]
-                        for c, v in zip(cols, (file_id, kind, mismatch, i, unit, loc.encode("utf-8", "replace").decode(), plain, attrs), strict=True):
-                            c.append(v)
-                kinds = (pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["file_id", "kind", "mismatch", "ord", "unit", "loc", "text", "a"])
+            for at in range(b.num_rows):
+                file_id, raw, length = (b.column(c)[at].as_py() for c in ("file_id", "content", "length"))
+                kind, mismatch, units = units_of(raw or b"", file_id or "", limits=limits) if raw is not None or not length else unread(file_id or "", length)
+                for i, (unit, loc, text, a) in enumerate(units):
+                    plain = text.encode("utf-8", "replace").decode("utf-8")
+                    attrs = [(k, str(v).lower() if isinstance(v, bool) else str(v)) for k, v in a.items() if not isinstance(v, bytes)]
+                    rows.append((file_id, kind, mismatch, i, unit, loc.encode("utf-8", "replace").decode(), plain, attrs))
+                    held += len(plain) + UNIT_CHARS
+                    if held >= BATCH_CHARS:
+                        yield batch(rows)
+                        rows, held = [], 0
+        if rows:
+            yield batch(rows)
 
     length = F.col("length").cast("long") if "length" in files.columns else F.lit(None).cast("long")
     return files.select("file_id", "content", length.alias("length")).mapInArrow(run, UNITS)

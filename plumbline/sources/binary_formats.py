@@ -519,9 +519,11 @@ def pdf(raw: bytes):
         note, flags = re.search(rb"/Contents\s*\(((?:\\.|[^\\()])*)\)", m[1]), re.search(rb"/F\s+(\d+)", m[1])
         yield "pdf_note", m[2].decode(), _literal(note[1]).strip() if note else "", {"flags": int(flags[1]) if flags else 0}
     box = re.search(rb"/MediaBox\s*\[\s*([-\d.]+)\s+([-\d.]+)\s+([-\d.]+)\s+([-\d.]+)", dicts)
-    page = [float(x) for x in box.groups()] if box else [0.0, 0.0, 612.0, 792.0]
+    # 14,400 units is the largest page that viewers are bound to show
+    page = [max(-14400.0, min(14400.0, float(x))) for x in box.groups()] if box else [0.0, 0.0, 612.0, 792.0]
+    widths = _widths(dicts)
     for n, (_, b) in enumerate(drawn):
-        yield from _spans(n, b, page)
+        yield from _spans(n, b, page, widths)
     fonts = set()
     for h, b in streams:
         if b"beginbfchar" in b or b"beginbfrange" in b:
@@ -532,30 +534,81 @@ def pdf(raw: bytes):
                 yield "pdf_cmap", f"font {len(fonts)}", text, {}
 
 
-def _spans(page: int, stream: bytes, box: list[float]):
-    """A small text state: font size, position, colour, render mode; widths are taken as half the size."""
-    token = rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|\[(?:\((?:\\.|[^\\()])*\)|[^\]])*\]|/[^\s/\[\]()<>]+|[-+]?\d*\.?\d+|[A-Za-z'\"*]+"
-    stack, size, x, y, lead, rgb, mode, region = [], 12.0, 0.0, 0.0, 0.0, (0.0, 0.0, 0.0), 0, 0
-    fills, drawn = [], {}
-    rect = None
-    for m in re.finditer(token, stream):
+def _widths(dicts: bytes) -> dict[bytes, tuple[int, list[float]] | None]:
+    """First code and glyph widths (for size 1) of simple fonts by resource name; None where a name has none, or means two fonts."""
+    seen: dict[bytes, bytes] = {}
+
+    def inside(ref: bytes) -> bytes:
+        if ref not in seen:
+            m = re.search(rb"(?<!\d)" + ref + rb"\s+\d+\s+obj\b(.*?)(?:endobj|stream\b)", dicts, re.S)
+            seen[ref] = m[1] if m else b""
+        return seen[ref]
+
+    out: dict[bytes, tuple[int, list[float]] | None] = {}
+    for m in re.finditer(rb"/Font\s*(?:<<(.*?)>>|(\d+)\s+\d+\s+R)", dicts, re.S):
+        for name, ref in re.findall(rb"/([^\s/<>\[\]()]+)\s+(\d+)\s+\d+\s+R", inside(m[2]) if m[2] else m[1]):
+            font, of = inside(ref), None
+            first, list_ = re.search(rb"/FirstChar\s+(\d+)", font), re.search(rb"/Widths\s*(?:\[([^\]]*)\]|(\d+)\s+\d+\s+R)", font)
+            if first and list_:
+                of = (int(first[1]), [float(v) / 1000 for v in re.findall(rb"\d+(?:\.\d+)?", list_[1] if list_[1] is not None else inside(list_[2]))])
+            out[name] = of if out.get(name, of) == of else None
+    return out
+
+
+def _times(m, n):
+    """The matrix that applies m, then n."""
+    return (m[0] * n[0] + m[1] * n[2], m[0] * n[1] + m[1] * n[3], m[2] * n[0] + m[3] * n[2], m[2] * n[1] + m[3] * n[3], m[4] * n[0] + m[5] * n[2] + n[4], m[4] * n[1] + m[5] * n[3] + n[5])
+
+
+def _corners(m, w: float, low: float, high: float):
+    """(x0, y0, x1, y1) of the box (0..w, low..high) under the matrix."""
+    at = [(x * m[0] + y * m[2] + m[4], x * m[1] + y * m[3] + m[5]) for x in (0.0, w) for y in (low, high)]
+    return min(x for x, _ in at), min(y for _, y in at), max(x for x, _ in at), max(y for _, y in at)
+
+
+_PDF_TOKEN = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|\[(?:\((?:\\.|[^\\()])*\)|[^\]])*\]|/[^\s/\[\]()<>]+|[-+]?(?:\d+\.?\d*|\.\d+)|[A-Za-z'\"*]+", re.S)
+_PDF_NUMBER, _PDF_WORD, _NEXT_ORIGIN = re.compile(rb"[-+]?(?:\d+\.?\d*|\.\d+)"), re.compile(rb"[A-Za-z'\"*]+"), re.compile(rb"\bTm\b|\bET\b")
+_SAME = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
+
+
+def _spans(page: int, stream: bytes, box: list[float], widths: dict):
+    """The text state of a content stream: matrices of page, line and text, font, leading, colour and render mode.
+
+    A glyph is as wide as its font's /Widths say, or half the size where the font has none."""
+    stack, saved = [], []
+    place, size, font, lead, rgb = _SAME, 12.0, None, 0.0, (0.0, 0.0, 0.0)
+    line, along, mode, region = _SAME, 0.0, 0, 0
+    fills, drawn, rect = [], {}, None
+    light_of = lambda c: sum(a * b for a, b in zip(c, (0.2126, 0.7152, 0.0722), strict=True))
+    for m in _PDF_TOKEN.finditer(stream):
         t = m[0]
-        if not re.fullmatch(rb"[A-Za-z'\"*]+", t):
+        if not _PDF_WORD.fullmatch(t):
             stack.append(t)
             continue
         try:
-            num = [float(v) for v in stack if re.fullmatch(rb"[-+]?\d*\.?\d+", v)]
-            if t == b"Tf":
-                size = num[-1]
+            num = [float(v) for v in stack if _PDF_NUMBER.fullmatch(v)]
+            if t == b"q":
+                saved.append((place, size, font, lead, rgb, mode))
+            elif t == b"Q":
+                place, size, font, lead, rgb, mode = saved.pop()
+            elif t == b"cm":
+                place = _times(num[-6:], place)
+            elif t == b"Tf":
+                size, font = num[-1], widths.get(stack[0][1:])
+            elif t == b"TL":
+                lead = num[-1]
             elif t in (b"Td", b"TD"):
-                x, y = x + num[-2], y + num[-1]
+                # from the start of the line, wherever the text on it has got to
+                line, along = _times((1.0, 0.0, 0.0, 1.0, num[-2], num[-1]), line), 0.0
+                lead = -num[-1] if t == b"TD" else lead
             elif t == b"Tm":
-                x, y = num[-2], num[-1]
+                line, along = tuple(num[-6:]), 0.0
+                x, y = line[4], line[5]
                 out = x < box[0] - 1 or y < box[1] - 1 or x > box[2] + 1 or y > box[3] + 1
-                follow = re.split(rb"\bTm\b|\bET\b", stream[m.end() :], maxsplit=1)[0]
-                yield "pdf_origin", f"page {page} at {x:g},{y:g}", _strings(follow)[:240], {"outside": out}
+                stop = _NEXT_ORIGIN.search(stream, m.end())
+                yield "pdf_origin", f"page {page} at {x:g},{y:g}", _strings(stream[m.end() : stop.start() if stop else len(stream)])[:240], {"outside": out}
             elif t == b"BT":
-                x = y = 0.0
+                line, along = _SAME, 0.0
             elif t in (b"rg", b"g"):
                 rgb = tuple(num[-3:]) if t == b"rg" else (num[-1],) * 3
             elif t == b"Tr":
@@ -563,19 +616,34 @@ def _spans(page: int, stream: bytes, box: list[float]):
                 if mode == 3:
                     drawn.setdefault(region, "")
             elif t == b"re":
-                rect = num[-4:]
-            elif t in (b"f", b"F") and rect:
-                fills.append((*rect, sum(a * b for a, b in zip(rgb, (0.2126, 0.7152, 0.0722), strict=True))))
-            elif t in (b"Tj", b"TJ", b"'", b'"') and stack:
+                rect = _corners(_times((1.0, 0.0, 0.0, 1.0, num[-4], num[-3]), place), num[-2], 0.0, num[-1])
+            elif t in (b"f", b"F", b"f*") and rect:
+                if light_of(rgb) < 0.95:
+                    fills.append(rect)
+            if t in (b"T*", b"'", b'"'):
+                line, along = _times((1.0, 0.0, 0.0, 1.0, 0.0, -lead), line), 0.0
+            if t in (b"Tj", b"TJ", b"'", b'"') and stack:
                 text = _strings(stack[-1])
-                w = max(len(text) * abs(size) * 0.5, 0.1)
+                first, of = font or (0, [])
+                w = size * sum(of[k] if 0 <= (k := ord(c) - first) < len(of) else 0.5 for c in text)
+                if t == b"TJ":
+                    w -= size / 1000 * sum(float(v) for v in _PDF_NUMBER.findall(re.sub(rb"\((?:\\.|[^\\()])*\)|<[^>]*>", b" ", stack[-1])))
+                at = _times((1.0, 0.0, 0.0, 1.0, along, 0.0), _times(line, place))
+                high = abs(size) * (at[2] ** 2 + at[3] ** 2) ** 0.5
+                x0, y0, x1, y1 = _corners(at, w, 0.0, size)
+                x1, y1 = max(x1, x0 + 0.1), max(y1, y0 + 0.01)
                 if mode == 3:
                     drawn[region] = drawn.get(region, "") + text
-                light = sum(a * b for a, b in zip(rgb, (0.2126, 0.7152, 0.0722), strict=True))
-                dark = any(f[4] < 0.95 and max(0, min(x + w, f[0] + f[2]) - max(x, f[0])) * max(0, min(y + size, f[1] + f[3]) - max(y, f[1])) > 0.5 * w * max(size, 0.01) for f in fills)
-                yield "pdf_span", f"page {page} at {x:g},{y:g}", text, {"size": size, "light": light, "dark_behind": dark, "page": page, "x0": x, "y0": y, "x1": x + w, "y1": y + max(size, 0.01), "outside": x + w < box[0] - 1 or y + size < box[1] - 1 or x > box[2] + 1 or y > box[3] + 1}
-                x += w
-        except (IndexError, ValueError):
+                light = light_of(rgb)
+                dark = light >= 0.95 and any(max(0, min(x1, f[2]) - max(x0, f[0])) * max(0, min(y1, f[3]) - max(y0, f[1])) > 0.5 * (x1 - x0) * (y1 - y0) for f in fills)
+                where = f"page {page} at {x0:g},{y0:g}"
+                out = not (x1 >= box[0] - 1 and y1 >= box[1] - 1 and x0 <= box[2] + 1 and y0 <= box[3] + 1)
+                if not out:  # boxes are compared as far as they are on the page, which bounds what a broken matrix can do
+                    x0, y0 = max(x0, box[0]), max(y0, box[1])
+                    x1, y1 = max(min(x1, box[2]), x0 + 0.1), max(min(y1, box[3]), y0 + 0.01)
+                yield "pdf_span", where, text, {"size": high, "light": light, "dark_behind": dark, "page": page, "x0": x0, "y0": y0, "x1": x1, "y1": y1, "outside": out}
+                along += w
+        except (IndexError, ValueError, ArithmeticError):
             pass
         stack = []
     for r, text in drawn.items():
