@@ -239,7 +239,7 @@ CARRIED = {"video": ("cover_finding", "video_frame_stego_candidate"), "audio": (
 
 def carried(found: DataFrame) -> DataFrame:
     """findings with ``parent``, the kind of the carrier: those of carried pictures are their carrier's, with its severity and tier."""
-    inside = F.col("parent").isin(*CARRIED) & ~F.col("unit").startswith("scan_")
+    inside = F.col("parent").isin(*CARRIED) & ~F.col("unit").startswith("scan_") & F.col("mechanism").isNotNull()
     of = lambda i: reduce(lambda c, kv: c.when(F.col("parent") == kv[0], kv[1][i]), CARRIED.items(), F.when(F.lit(False), ""))
     new = {c: F.when(inside, of(i)).otherwise(F.col(c)) for i, c in enumerate(("unit", "mechanism"))}
     return found.withColumns(new | {c: F.when(~inside, F.col(c)) for c in ("tier_override", "severity_override", "payload")}).drop("parent")
@@ -247,6 +247,13 @@ def carried(found: DataFrame) -> DataFrame:
 
 def findings(units: DataFrame, detectors: list[Detector] | None = None) -> DataFrame:
     """units(file_id, kind, unit, ord, loc, text, a) -> one row a finding, trig the place of its detector."""
+    return findings_and(units, (), detectors).drop("text", "a")
+
+
+def findings_and(units: DataFrame, kept: tuple[str, ...], detectors: list[Detector] | None = None) -> DataFrame:
+    """findings, and for each unit of the kinds ``kept`` a row without a mechanism, with its text and attributes.
+
+    One pass over the units, after which no other unit is needed: what comes out is narrow."""
     kind = "struct<mechanism:string,confidence:double,tier_override:int,severity_override:double,concealed:string,payload:string,trig:int>"
     by: dict[str, list[tuple[int, Detector]]] = {}
     for i, d in enumerate(DETECTORS if detectors is None else detectors):
@@ -261,5 +268,8 @@ def findings(units: DataFrame, detectors: list[Detector] | None = None) -> DataF
     conf = reduce(lambda c, kv: c.when(F.col("unit") == kv[0], kv[1]), WORDED.items(), F.when(F.lit(False), 0.0))
     letters = F.transform(worded, lambda w: F.struct(F.lit("homoglyph").alias("mechanism"), conf.cast("double").alias("confidence"), F.lit(None).cast("int").alias("tier_override"), F.lit(None).cast("double").alias("severity_override"), w["recovered"].alias("concealed"), F.lit(None).cast("string").alias("payload"), F.lit(900).alias("trig")))
     empty = F.expr(f"cast(array() AS array<{kind}>)")
-    both = F.concat(F.filter(F.coalesce(pick, empty), lambda x: x.isNotNull()), F.coalesce(letters, empty))
-    return carried(u.select("file_id", "kind", "unit", "ord", F.col("loc").alias("location"), F.coalesce(F.col("a")["parent"], F.lit("")).alias("parent"), F.inline(both)))
+    keep = F.col("unit").isin(*kept)
+    bare = F.when(keep, F.expr(f"array(cast(named_struct('mechanism', NULL, 'confidence', NULL, 'tier_override', NULL, 'severity_override', NULL, 'concealed', NULL, 'payload', NULL, 'trig', NULL) AS {kind}))")).otherwise(empty)
+    both = F.concat(F.filter(F.coalesce(pick, empty), lambda x: x.isNotNull()), F.coalesce(letters, empty), *([bare] if kept else []))
+    own = [F.when(keep, F.col(c)).alias(c) for c in ("text", "a")]
+    return carried(u.select("file_id", "kind", "unit", "ord", F.col("loc").alias("location"), *own, F.coalesce(F.col("a")["parent"], F.lit("")).alias("parent"), F.inline(both)))

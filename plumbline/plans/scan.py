@@ -15,7 +15,7 @@ from ..errors import ModeError
 from ..functions.mechanisms import MECHANISMS, with_dimension
 from ..limits import DEFAULT, Limits
 from ..operators import scoring
-from ..operators.detectors import CARRIED, DETECTORS, findings
+from ..operators.detectors import CARRIED, DETECTORS, findings_and
 from ..operators.overlap import overlapping
 from ..operators.registry import Registry
 from ..operators.routing import extension, other_office, route
@@ -183,10 +183,12 @@ def scan(files: DataFrame, mode: str = "forensic", limits: Limits = DEFAULT, rul
         raise ModeError(f"unknown mode {mode!r}")
     rules = Registry() if rules is None else rules
     known = list(rules.mechanisms.values())
-    units = decompose(files, limits).persist()
-    # findings are few and narrow: the detectors run once for scores, gate and both correlations
-    found = with_dimension(ranked(findings(units, rules.detectors).unionByName(overlapping(units)), rules), known).persist()
-    held = (units, found)
+    # units are as large as the files and are not held; findings, files and PDF spans are all that is read again
+    narrow = findings_and(decompose(files, limits), ("file", "scan_error", "scan_limited", "pdf_span"), rules.detectors).persist()
+    units, found = narrow.where("mechanism IS NULL"), narrow.where("mechanism IS NOT NULL").drop("text", "a")
+    # the detectors run once for scores, gate and both correlations
+    found = with_dimension(ranked(found.unionByName(overlapping(units)), rules), known).persist()
+    held = (narrow, found)
     if mode == "production":
         found = scoring.early_exit(found)
     # one file's payloads meeting at two sites are a finding themselves; PDFs are not correlated
