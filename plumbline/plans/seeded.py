@@ -110,7 +110,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     e = table(spark, sf_dir, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    w = Window.partitionBy("user_id").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))
     out = F.when(F.col("event_id") % 5 == 0, 200).when(F.col("event_id") % 5 == 1, 503).when(F.col("event_id") % 5 == 2, 429).when(F.col("event_id") % 5 == 3, 404).otherwise(408)
     return e.select(F.col("user_id").alias("job_id"), F.col("ts").alias("at"), "event_id", F.row_number().over(w).alias("attempt"), out.alias("code"))
 

@@ -31,6 +31,26 @@ def test_query_equals_sql(spark, name):
     assert sorted(tuple(plain(v) for v in x) for x in df.select(*cols).collect()) == sorted(tuple(plain(v) for v in x) for x in r.fetchall())
 
 
+def test_claim_equals_sql_on_fractions_ties_and_nulls(spark, tmp_path):
+    """Due times of halves of a second, before 1970, of nulls and ties, one table each: the first job due is SQL's."""
+    from plumbline.plans import queries as Q
+
+    half, more, none = ("2024-01-01 00:00:00.5", "2024-01-01 00:00:01.5", "1969-12-31 23:59:57.5"), ("2024-01-01 00:00:00.500001", "2024-01-01 00:00:00.9", "2024-01-01 00:00:00.499999"), None
+    tables = [[(1, ts, 7)] for ts in half + more] + [
+        [(2, more[1], 7), (3, half[1], 5), (1, half[0], 9)],  # ties in due after rounding
+        [(1, none, 7), (2, more[0], 8)], [(1, more[0], 8), (2, none, 8), (1, none, 8)], [(1, none, None), (2, half[0], None), (4, half[0], 8)],
+    ]
+    for i, rows in enumerate(tables):
+        sf = str(tmp_path / str(i))
+        os.mkdir(sf)
+        at = [f"({e}, {f"'{ts}'" if ts else 'NULL'}::TIMESTAMP, {'NULL' if u is None else u}::BIGINT, 'view', 1.0, '{{}}')" for e, ts, u in rows]
+        con = duckdb.connect()
+        con.execute(f"CREATE TABLE events AS SELECT * FROM (VALUES {', '.join(at)}) v(event_id, ts, user_id, event_type, value, props)")
+        con.execute(f"COPY events TO '{sf}/events.parquet'")
+        want = con.execute(Q.SQL["q_claim"]).fetchall()
+        assert len(want) == 1 and [tuple(r) for r in Q.q_claim(spark, sf).collect()] == want, rows
+
+
 def test_entry_module():
     import subprocess
     import sys
